@@ -67,6 +67,23 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
+def quantile_bounds(df: DataFrame, column: str, n: int) -> list[float]:
+    """At most n - 1 rising values that split a number column into n ranges of about equal size; nulls don't count."""
+    if n < 2:
+        return []
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    return sorted(set(values.approxQuantile("v", [i / n for i in range(1, n)], 0.25 / n)))
+
+
+def range_index(value: Column, bounds: list[float]) -> Column:
+    """How many of the rising bounds are at most value: whole groups of 64 first, then one group; null for null."""
+    lits = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<double>")
+    passed = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
+    group = passed(lits(bounds[63::64]))
+    index = group * 64 + passed(F.slice(lits(bounds), group * 64 + 1, 64))
+    return F.when(value.isNotNull(), index)
+
+
 def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with rank (long, from 0) in the global order; no single task sees all rows.
 

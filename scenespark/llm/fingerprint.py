@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quantile_bounds, range_index
+
 
 SHINGLE, SHARE_BITS = 5, 3  # words; one hash in 2^3 is kept
 _DROP = 24  # low bits of a 64-bit hash that a fingerprint leaves out
@@ -127,16 +129,10 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ids = rows.select(F.col("id").cast("double").alias("id")).where("id is not null")
-    bounds = sorted(set(ids.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []), reverse=True)
-    tie = F.xxhash64("text")
-    rows = rows.withColumn("tie", tie)
-    # Range 0 has the largest ids; nulls are in the last. Two short scans of the falling bounds: whole groups of 64, then one group.
-    lits = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<double>")
-    beyond = lambda xs: F.size(F.filter(xs, lambda b: F.col("id") < b))
-    group = beyond(lits(bounds[63::64]))
-    rank = group * 64 + beyond(F.slice(lits(bounds), group * 64 + 1, 64))
-    rows = rows.withColumn("range", F.when(F.col("id").isNull(), len(bounds)).otherwise(rank))
+    bounds = quantile_bounds(rows, "id", n)
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    # Range 0 has the largest ids; nulls are in the last.
+    rows = rows.withColumn("range", F.coalesce(len(bounds) - range_index(F.col("id"), bounds), F.lit(len(bounds))))
     # Each range's first document: one row a range. The sort key puts large ids first and nulls last.
     key = F.struct(F.col("id").isNull().cast("int").alias("null"), (-F.col("id")).alias("neg"), F.col("tie").alias("tie"))
     heads = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.min(key).alias("first")).collect())

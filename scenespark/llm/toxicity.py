@@ -176,23 +176,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return Model(lexicon, tuple(float(v) for v in _logistic(rows[:, :3], rows[:, 3])), exceptions)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with score double (0 to 1) and predicted int.
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those to keep) with score double (0 to 1) and predicted int.
 
     A null, empty or wordless text has the score of a text without terms. The score
     depends on the text alone, so equal texts have equal scores. Columns of docs named
-    score or predicted are replaced; others stay.
+    score or predicted are replaced.
     """
-    rows = docs.drop("score", "predicted") if text not in ("score", "predicted") else docs
-    # Only the text goes to Python, once for each different one in a batch; the other columns ride along as they are.
-    schema = rows.withColumn("score", F.lit(0.0)).schema
-    names = [*rows.columns, "score"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+    rows = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, w = model.automaton(), model.coefficients
         for b in batches:
-            z = [w[0] + sum(c * v for c, v in zip(w[1:], _measure(a, t.as_py()))) for t in b.column(text)]
+            z = [w[0] + sum(c * v for c, v in zip(w[1:], _measure(a, t.as_py()))) for t in b.column("__text")]
             values = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values)], names=[*keep, "score"])
 
     return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
