@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .decontaminate import decontaminate
 from .fingerprint import compare_with_next
+from .licenses import scan_licenses
 from .mixing import mix
 from .simhash import near_duplicates
 from .suffix import dedup_substrings
+from .tokens import count_tokens, vocabulary
+from .urls import filter_urls
 from .warc import round_trip
 
+#: A sentencepiece model, read on the driver.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,17 +36,32 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rule, or by what its aliases are."""
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its text edited with the next document's."""
     return compare_with_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as the WARC archives written from all pages give it back."""
     out = round_trip(_table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram pieces of every document."""
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary(TOKENIZER), keep=["doc_id"])
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that 10-word windows of benchmark items cover."""
     docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
@@ -70,8 +91,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_fingerprint": op4_fingerprint,
+    "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
+    "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
@@ -79,7 +103,21 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+# Aliases are left out of the SQL for op3: no page of these tables has a canonical or refresh link,
+# and tests/llm holds what they do against a brute-force version.
+_RULES = """(VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+        ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(h, p, v)"""
+
 ORACLES = {
+    "op3_url_filter": rf"""
+WITH u AS (SELECT page_id,
+           translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+m AS (SELECT u.page_id, r.h || r.p AS rule, r.v, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.h || r.p) DESC, r.v, r.h || r.p) AS n
+      FROM u JOIN {_RULES} ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.v, 'allow') AS verdict
+FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.n = 1
+""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM p),
