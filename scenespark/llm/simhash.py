@@ -30,6 +30,7 @@ from .common import cut
 from .components import components
 
 BYTES = 8
+_NEW = ("fp", "component_id", "component")
 
 
 def cover(width: int) -> list[tuple[int, ...]]:
@@ -66,13 +67,13 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str, text: str, keep: list[str], shingle: int, seed: int) -> DataFrame:
-    """keep columns and fp: the fingerprint as a signed long."""
-    schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
+    """keep columns and __fp: the fingerprint as a signed long."""
+    schema = docs.select(*keep).withColumn("__fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = np.array([fingerprint(t.as_py(), shingle, seed) for t in b.column("__text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(values)], names=[*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(values)], names=[*keep, "__fp"])
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -158,19 +159,21 @@ def _through_middle(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = 4, shingle: int = 4, seed: int = 42, keep: list[str] | None = None, width: int | None = None, long_list: int = 8192) -> DataFrame:
-    """keep columns (default: the id) with fp long and component_id: the least id reachable over links.
+    """keep columns (default: the id) with fp long, component_id (the least id reachable over links) and component (its least fp).
 
     A text without words (null, empty, white space) has fingerprint 0 and links like any
     other; one of fewer than `shingle` words has its whole sequence as one shingle.
     Repeated rows each get their row. Null ids are never a component's least id, unless
     it has no other. An empty table gives an empty table. Ids must be ordered (any type
-    that min() takes); columns other than the id and the text are not read unless kept.
+    that min() takes); columns other than the id and the text are not read unless kept,
+    and kept ones with the names of the new ones are replaced.
     """
-    keep = list(dict.fromkeys([id_col, *(keep or [])]))
+    keep = [c for c in dict.fromkeys([id_col, *(keep or [])]) if c not in _NEW or c == id_col]
     rows = cut(with_fingerprint(docs, id_col, text, keep, shingle, seed), "simhash")
-    fps = cut(rows.groupBy("fp").agg(F.min(id_col).alias("__least")), "simhash_fps")
-    comp = components(links(fps.select("fp"), max_bits, width, long_list), "a", "b")
-    comp = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "__least", F.coalesce("component", "fp").alias("__c"))
+    fps = cut(rows.groupBy("__fp").agg(F.min(id_col).alias("__least")), "simhash_fps")
+    comp = components(links(fps.select(F.col("__fp").alias("fp")), max_bits, width, long_list), "a", "b")
+    comp = fps.join(comp, fps["__fp"] == comp["node"], "left").select("__fp", "__least", F.coalesce("component", "__fp").alias("__c"))
     comp = cut(comp, "simhash_components")
     least = comp.groupBy("__c").agg(F.min("__least").alias("component_id"))
-    return rows.join(comp.join(least, "__c").select("fp", "component_id"), "fp")
+    out = rows.join(comp.join(least, "__c").select("__fp", "component_id", F.col("__c").alias("component")), "__fp")
+    return out.select(*keep, F.col("__fp").alias("fp"), "component_id", "component")
