@@ -97,7 +97,8 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", it
     hits = cut(hits.distinct(), "winnow_hits")
 
     keys = hits.select(*_KEY).distinct()
-    texts = docs.select(*_key(F.col(text)), F.col(text).alias("text")).join(keys, _KEY).groupBy(*_KEY).agg(F.first("text").alias("text"))
+    # Copies are combined before the shuffle; the keys then join texts that lie by key already.
+    texts = docs.select(*_key(F.col(text)), F.col(text).alias("text")).groupBy(*_KEY).agg(F.first("text").alias("text")).join(keys, _KEY)
     texts = cut(texts, "winnow_texts")
     hashed = texts.select(*_KEY, F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
     places = None
