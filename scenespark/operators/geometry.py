@@ -34,9 +34,9 @@ def floor_groups(rooms: DataFrame) -> DataFrame:
     return out.withColumn("group_ord", F.dense_rank().over(scene.orderBy(F.col("group_floor").asc_nulls_last()))).drop("__many")
 
 
-def floor_plane(placed: DataFrame) -> DataFrame:
-    """placed rooms with u and v: the two axes other than the one of least variance in their group (the first of equals)."""
-    var = placed.groupBy("scene_id", "group_ord").agg(F.array(*[F.var_pop(c) for c in "xyz"]).alias("__v"))
+def floor_plane(placed: DataFrame, digits: int | None = None) -> DataFrame:
+    """placed rooms with u and v: the two axes other than the one of least variance in their group (the first of equals; digits: to so many digits)."""
+    var = placed.groupBy("scene_id", "group_ord").agg(F.array(*[rounded(F.var_pop(c), digits) for c in "xyz"]).alias("__v"))
     up = F.array_position("__v", F.array_min("__v"))
     out = placed.join(var.select("scene_id", "group_ord", up.alias("up")), ["scene_id", "group_ord"])
     return out.withColumns({"u": F.when(F.col("up") == 1, F.col("y")).otherwise(F.col("x")), "v": F.when(F.col("up") == 3, F.col("y")).otherwise(F.col("z"))})
@@ -65,14 +65,14 @@ def _pairs(plane: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def knn_rooms(rooms: DataFrame, k: int = NEAREST, digits: int | None = None) -> DataFrame:
     """Each placed room's k nearest of its group, nearest first, insertion order between equals (digits: to so many digits): (…, rank, distance, a_from_b, b_from_a)."""
-    pairs = _pairs(floor_plane(floor_groups(rooms)), None)
+    pairs = _pairs(floor_plane(floor_groups(rooms), digits), None)
     w = Window.partitionBy("scene_id", "group_ord", "a").orderBy(rounded(F.col("distance"), digits), "nbr_ord")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("nbr_ord")
 
 
 def connected_placements(rooms: DataFrame, adjacency: DataFrame, digits: int | None = None) -> DataFrame:
     """Each room's connected rooms of its group, nearest first, list order between equals."""
-    pairs = _pairs(floor_plane(floor_groups(rooms)), adjacency)
+    pairs = _pairs(floor_plane(floor_groups(rooms), digits), adjacency)
     w = Window.partitionBy("scene_id", "a").orderBy(rounded(F.col("distance"), digits), "nbr_ord")
     return pairs.withColumn("rank", F.row_number().over(w)).drop("nbr_ord")
 

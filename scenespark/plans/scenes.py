@@ -30,7 +30,7 @@ QUERIES = {
     "room_type_summary": lambda s, d: I.room_type_summary(*_t(s, d, "rooms")),
     "scene_totals": lambda s, d: I.scene_totals(*_t(s, d, "rooms", "objects", "adjacency")).drop("single"),
     "capabilities": lambda s, d: M.capabilities(*_t(s, d, "rooms", "adjacency", "relations")),
-    "floor_plane": lambda s, d: final(M.floor_plane(M.floor_groups(*_t(s, d, "rooms"))), "scene_id", "room_id", "group_ord", "up", "u", "v"),
+    "floor_plane": lambda s, d: final(M.floor_plane(M.floor_groups(*_t(s, d, "rooms")), DIGITS), "scene_id", "room_id", "group_ord", "up", "u", "v"),
     "knn_rooms": lambda s, d: final(M.knn_rooms(*_t(s, d, "rooms"), digits=DIGITS)),
     "connected_placements": lambda s, d: final(M.connected_placements(*_t(s, d, *_RA), digits=DIGITS)),
     "isolated_rooms": lambda s, d: M.isolated_rooms(*_t(s, d, *_RA)),
@@ -74,9 +74,9 @@ _PATHS = """paths AS (WITH RECURSIVE p(scene_id, src, dst, d, path) AS (SELECT s
     UNION ALL SELECT scene_id, src, dst, d, path FROM (SELECT x.*, row_number() OVER (PARTITION BY scene_id, src, dst ORDER BY path) AS k FROM (
         SELECT p.scene_id, p.src, e.dst, p.d + 1 AS d, list_append(p.path, CAST(e.dst AS BIGINT)) AS path FROM p JOIN edges e ON e.scene_id = p.scene_id AND e.src = p.dst WHERE NOT list_contains(p.path, CAST(e.dst AS BIGINT)) AND p.d < 12) x) WHERE k = 1)
     SELECT scene_id, src, dst, min(d) AS d, arg_min(path, d) AS path FROM p GROUP BY ALL)"""
-_GROUPS = """fl AS (SELECT scene_id, count(DISTINCT floor) >= 2 AS many FROM rooms GROUP BY ALL),
+_GROUPS = f"""fl AS (SELECT scene_id, count(DISTINCT floor) >= 2 AS many FROM rooms GROUP BY ALL),
 grp AS (SELECT r.*, CASE WHEN many THEN floor END AS gf, CAST(dense_rank() OVER (PARTITION BY scene_id ORDER BY CASE WHEN many THEN floor END NULLS LAST) AS INT) AS group_ord FROM rooms r JOIN fl USING (scene_id) WHERE x IS NOT NULL),
-va AS (SELECT scene_id, group_ord, var_pop(x) AS vx, var_pop(y) AS vy, var_pop(z) AS vz FROM grp GROUP BY ALL),
+va AS (SELECT scene_id, group_ord, {r9('var_pop(x)')} AS vx, {r9('var_pop(y)')} AS vy, {r9('var_pop(z)')} AS vz FROM grp GROUP BY ALL),
 pl AS (SELECT grp.*, CASE WHEN vx <= vy AND vx <= vz THEN 1 WHEN vy <= vz THEN 2 ELSE 3 END AS up FROM grp JOIN va USING (scene_id, group_ord)),
 plane AS (SELECT *, CASE WHEN up = 1 THEN y ELSE x END AS u, CASE WHEN up = 3 THEN y ELSE z END AS v FROM pl)"""
 _BEAR = f"[{_LIST(M.SECTORS)}][1 + ((CAST(round_even(atan2({{1}}, {{0}}) / (pi() / 4), 0) AS INT) % 8) + 8) % 8]"
