@@ -11,10 +11,10 @@ mix: documents that the mix takes, with size, source_size, target, copies and ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import cut
+from scenespark.llm.common import new_path, release, text_key
 from scenespark.llm.decontaminate import decontaminate
 from scenespark.llm.entry import held_out
 from scenespark.llm.mixing import mix
@@ -22,35 +22,48 @@ from scenespark.llm.simhash import near_duplicates
 from scenespark.llm.suffix import dedup_substrings
 from scenespark.llm.toxicity import fit, score
 
+# Each stage begins with release(): its predecessor's rows are written by then, so the
+# scratch tables that they were made from can go.
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.where(~held_out()))
     return score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, keep=docs.columns)
-    # Only rows with their component's least id are left to compare: one, or as many as repeat that id.
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    order = Window.partitionBy("component").orderBy(F.xxhash64("text"), *[F.col(c).asc() for c in docs.columns if c not in ("doc_id", "text")])
-    return first.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    release(spark)
+    k1, k2 = text_key(F.col("text"))
+    keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
+    found = near_duplicates(keyed, keep=["__k1", "__k2"])
+    # Of a component the text with the least id, and of that text's rows the first: texts are shuffled once, copies combined before.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("b")
+    kept = found.groupBy("component").agg(first).select("b.__k1", "b.__k2")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *rest)).alias("r")
+    return keyed.groupBy("__k1", "__k2").agg(row).join(kept, ["__k1", "__k2"], "left_semi").select(*[F.col("r")[c].alias(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(docs, with_text=True)
+    release(spark)
+    found = dedup_substrings(docs.withColumn("__null", F.col("text").isNull()), with_text=True)
     rows = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
-    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept"))
-    return rows.withColumn("__text", text).withColumn("__n", n_chars.cast(docs.schema["n_chars"].dataType)).select(*[F.col({"text": "__text", "n_chars": "__n"}.get(c, c)).alias(c) for c in docs.columns])
+    # The kept text is the whole text where nothing was cut, so the old one needn't be carried along.
+    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.when(~F.col("__null"), F.col("kept")), "n_chars": n_chars}
+    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate(docs, items).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return mix(docs).where("copies > 0")
 
 
@@ -70,7 +83,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        path = new_path(spark, f"pipeline_{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
 
 

@@ -34,6 +34,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables of this process, by application id.
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    path = new_path(spark, name)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -42,9 +57,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark.sql.autoBroadcastJoinThreshold and shuffles otherwise.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = _scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() made, when nothing that is still to run reads them."""
+    for t in tables:
+        _delete(t.sparkSession, t.scratch_path)
+        _SCRATCH[t.sparkSession.sparkContext.applicationId].remove(t.scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables made so far. Only for callers that have written every result that reads them."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
@@ -52,7 +82,7 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, *keys).option("path", new_path(spark, name)).saveAsTable(table)
+    df.write.format("parquet").bucketBy(n, *keys).option("path", _scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 

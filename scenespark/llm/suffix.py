@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, cut, text_key
+from .common import bucketed, cut, discard, text_key
 
 CHUNK = 1 << 20  # bytes of text that are hashed at a time
 _U = np.uint64
@@ -402,8 +402,9 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int =
     judged = specimens.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(length), "k1 long, k2 long, s int, e int")
     same = rows.join(spans.where("n > 1").select("span", "check").distinct(), ["span", "check"]).select("k1", "k2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
     cutting = cut(judged.unionByName(same).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix_cutting")
+    discard(rows, spans)
     done = texts.join(cutting, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans")
-    return cut(done.mapInArrow(_apply(length, with_text), _RESULT_SCHEMA), "suffix_result")
+    return done.mapInArrow(_apply(length, with_text), _RESULT_SCHEMA)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, with_text: bool = False) -> DataFrame:
