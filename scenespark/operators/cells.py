@@ -120,10 +120,11 @@ def count_tokens(df: DataFrame, tokenizer: Callable[[], Callable[[list[str]], li
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = tokenizer()
         for s in batches:
-            known = s.notna()
-            counts = pd.Series([None] * len(s), index=s.index, dtype="Int64")
-            counts[known] = [n + extra for n in count(s[known].tolist())]
-            yield counts
+            at = [i for i, t in enumerate(s) if t is not None]
+            counts: list[int | None] = [None] * len(s)
+            for i, n in zip(at, count([s.iloc[i] for i in at]) if at else []):
+                counts[i] = n + extra
+            yield pd.Series(counts, dtype="Int64")
 
     return df.withColumn(out, counted(F.col(text)))
 
