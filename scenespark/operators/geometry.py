@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import id_key, rounded
+from ..functions.keys import rounded
 
 # Sectors counter-clockwise from east.
 SECTORS = ["east", "north-east", "north", "north-west", "west", "south-west", "south", "south-east"]
@@ -86,7 +86,3 @@ def exhaustive_flag(rooms: DataFrame, k: int = NEAREST) -> DataFrame:
     """(scene_id, exhaustive): no group has a room with more than k others."""
     sizes = floor_groups(rooms).groupBy("scene_id", "group_ord").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("scene_id").agg((F.max("n") - 1 <= k).alias("exhaustive"))
-
-
-def room_order(placed: DataFrame) -> Column:
-    return id_key("room_id")

@@ -106,9 +106,6 @@ def inventory(s: _Scene) -> DataFrame:
     return assemble(lines(h, 0, first), lines(h, 1, types), lines(h, 2, F.lit("")), lines(s.rooms, 3, _cat(_c("label"), " — contains: ", _c("inventory"), "."), _rank(F.desc("n_objects"), id_key("room_id"))))
 
 
-_BY_DEGREE = (F.desc, "degree")
-
-
 def _by_degree() -> Column:
     return _rank(F.desc("degree"), id_key("room_id"), F.desc("n_objects"))
 
@@ -394,7 +391,7 @@ def relations_predicate(s: _Scene) -> DataFrame:
 
 
 def _pairs_shown(s: _Scene, df: DataFrame, sign: str, a: str, z: str) -> DataFrame:
-    rows = R.resolve(R.resolve(df, s.labels.withColumnRenamed("object_id", "object_id"), "a", "la"), s.labels, "b", "lb")
+    rows = R.resolve(R.resolve(df, s.labels, "a", "la"), s.labels, "b", "lb")
     key = F.struct(id_key("a").alias("x"), id_key("b").alias("y"), _cat(a, _c("la"), sign, _c("lb"), z).alias("t"))
     return rows.groupBy("scene_id", "predicate").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["t"]), "; ").alias("shown"))
 
