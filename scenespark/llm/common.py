@@ -97,6 +97,12 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
+def ranges_for(df: DataFrame, column: str, each: int = 64 << 20) -> int:
+    """How many ranges to deal rows into: one for each shuffle partition, and more where a range would hold over `each` bytes of column."""
+    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+
+
 def quantile_bounds(df: DataFrame, column: str, n: int) -> list[float]:
     """At most n - 1 rising values that split a number column into n ranges of about equal size; nulls don't count."""
     if n < 2:

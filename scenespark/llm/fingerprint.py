@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quantile_bounds, range_index
+from .common import quantile_bounds, range_index, ranges_for
 
 
 SHINGLE, SHARE_BITS = 5, 3  # words; one hash in 2^3 is kept
@@ -127,8 +127,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     two texts at a time. A null text is empty. A single document is its own next.
     """
     spark = docs.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n = buckets or ranges_for(rows, "text")
     bounds = quantile_bounds(rows, "id", n)
     rows = rows.withColumn("tie", F.xxhash64("text"))
     # Range 0 has the largest ids; nulls are in the last.

@@ -97,8 +97,8 @@ class Index:
                 names = {x for band, key in enumerate(self.keys(self.minhash(self.hashes(inside)))) for x in self.table[n][band].get(key, ())}
                 for name in names:
                     share = len(self.sets[name].intersection(inside)) / len(self.sets[name])
-                    if share >= threshold and (share, -s) > (best[name][0], -best[name][1]) if name in best else share >= threshold:
-                        best[name] = (share, s, e)
+                    if share >= threshold and (name not in best or share > best[name][0]):
+                        best[name] = (share, s, e)  # starts rise, so the first of equals stays
         return [(name, *best[name]) for name in sorted(best)]
 
 

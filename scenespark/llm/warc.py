@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, quantile_bounds, range_index
+from .common import cut, new_path, quantile_bounds, range_index, ranges_for
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -163,9 +163,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     gives an empty manifest. Payloads are shuffled once: what is known of a repeated one
     travels beside it, under the same key.
     """
-    n = ranges or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.cast("binary").alias("html"))
+    n = ranges or ranges_for(rows, "html")
     rows = rows.withColumn("digest", F.sha2("html", 256))
     ids = rows.select("page_id", "digest", "url", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least_bytes)
     # The least id and url of each payload: partial aggregates, so a payload of very many pages is combined first.
