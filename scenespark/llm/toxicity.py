@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             x = np.array([_measure(a, t.as_py()) for t in b.column("text")]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(3)), b.column("toxic")], names=["a", "b", "c", "toxic"])
 
-    rows = np.array(sample.mapInArrow(measured, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic").collect(), float)
+    rows = np.array(sample.mapInArrow(measured, "a double, b double, c double, toxic int").collect(), float)
+    rows = rows[np.lexsort(rows.T)]  # sums in one order, whichever task ends first
     return Model(lexicon, tuple(float(v) for v in _logistic(rows[:, :3], rows[:, 3])), exceptions)
 
 
