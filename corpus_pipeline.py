@@ -3,8 +3,8 @@
 toxicity: documents that the lexicon model rejects go. The model learns from sf_dir's
     labels, those held out excepted.
 simhash: of each near-duplicate component the document with the least id stays.
-suffix: every byte that a repeated 400-byte string covers is cut out of the texts;
-    documents of which nothing but white space is left after a cut go.
+suffix: every byte that a repeated 400-byte string or a repeated passage of over 50
+    words covers is cut out of the texts; documents of which nothing but white space is left after a cut go.
 decontaminate: documents with a window of a benchmark item go.
 mix: documents that the mix takes, with size, source_size, target, copies and taken.
 """
@@ -22,6 +22,9 @@ from scenespark.llm.simhash import near_duplicates
 from scenespark.llm.suffix import dedup_substrings
 from scenespark.llm.toxicity import fit, score
 
+#: A passage of over 50 words that repeats is cut, whatever its length in bytes.
+WORDS = 51
+
 # Each stage begins with release(): its predecessor's rows are written by then, so the
 # scratch tables that they were made from can go.
 
@@ -48,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark)
-    found = dedup_substrings(docs.withColumn("__null", F.col("text").isNull()), with_text=True)
+    found = dedup_substrings(docs.withColumn("__null", F.col("text").isNull()), with_text=True, words=WORDS)
     rows = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     # The kept text is the whole text where nothing was cut, so the old one needn't be carried along.
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)

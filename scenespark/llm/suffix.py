@@ -344,7 +344,7 @@ _RESULT = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "remove
 _RESULT_SCHEMA = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<s:int,e:int>>, kept string"
 
 
-def _apply(length: int, with_text: bool):
+def _apply(length: int, with_text: bool, words: int = 0):
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -353,7 +353,7 @@ def _apply(length: int, with_text: bool):
             meta = zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "copies")))
             for i, (k1, k2, copies) in enumerate(meta):
                 raw = b.column("text")[i].as_buffer().to_pybytes()
-                if copies > 1 and len(raw) >= length:
+                if copies > 1 and (len(raw) >= length or words and len(raw.split()) >= words):
                     cutting = [[0, len(raw)]]
                 else:
                     cutting = _merged([(x["s"], x["e"]) for x in spans[i].as_py() or []])
@@ -377,12 +377,131 @@ def _apply(length: int, with_text: bool):
     return run
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, block: int = 32, with_text: bool = False) -> DataFrame:
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts laid end to end; a word ends with its text."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate(([True], space[:-1])) | edge[:-1]
+    after = np.concatenate((space[1:], [True])) | edge[1:]
+    return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+
+
+def _word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Prefix polynomial hashes over words; salt: another hash of each word."""
+    if not len(starts):
+        return np.zeros(1, np.uint64)
+    base = starts[0]
+    prefix = _prefix(data[base : ends[-1]] ^ np.uint8(salt))
+    power, inverse = _powers(max(len(prefix), len(starts)))
+    hashes = _mixed(((prefix[ends - base] - prefix[starts - base]) * inverse[starts - base]) ^ _U(salt))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(starts)], dtype=np.uint64)))
+
+
+def _word_grams(sums: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of each k words, or of those that begin at the given words."""
+    at = np.arange(len(sums) - k) if at is None else at
+    return _mixed((sums[at + k] - sums[at]) * _powers(len(sums))[1][at])
+
+
+def word_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, words: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each anchor's first and last window of `words` words (by its first word) and its hash. text: each word's text, ascending."""
+    n, w = len(starts), words - k + 1
+    at = np.flatnonzero(text[words - 1 :] == text[: n - words + 1]) if n >= words else np.zeros(0, np.int64)
+    if not len(at):
+        return at, at, np.zeros(0, np.int64)
+    grams = _word_grams(_word_sums(data, starts, ends), k)
+    low = (_U(1) << _U(int(n).bit_length())) - _U(1)
+    order = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    blocks = np.concatenate((order, np.full(-len(order) % w, ~_U(0)))).reshape(-1, w)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    p = (np.minimum(back[at], ahead[at + w - 1]) & low).astype(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1))))
+    return at[new], at[np.concatenate((new[1:], [len(at)])) - 1], grams[p[new]].view(np.int64)
+
+
+def _pieces(n: int, words: int, size: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Ranges of n words that overlap such that each window lies whole in one."""
+    for i in range(0, max(1, n - words + 1), size):
+        yield i, min(n, i + size + words - 1)
+
+
+def _word_anchor_rows(words: int, k: int):
+    names = ["k1", "k2", "first", "last", "anchor"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = _buffers(b.column("text"))
+            i = 0
+            while i < len(b):
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
+                part, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                starts, ends = _words(part, o)
+                text = np.searchsorted(o, starts, side="right") - 1
+                head = np.searchsorted(text, np.arange(j - i))
+                for x, y in _pieces(len(starts), words):
+                    first, last, anchor = word_anchors(part, starts[x:y], ends[x:y], text[x:y], words, k)
+                    if len(first):
+                        row = text[first + x]
+                        take = pa.array(row + i)
+                        near = [pa.array((v + x - head[row]).astype(np.int32)) for v in (first, last)]
+                        yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), *near, pa.array(anchor)], names=names)
+                i = j
+
+    return run
+
+
+def _word_windows(words: int):
+    """Of texts with the stretches asked of them: each of their windows, two hashes of its words and its bytes' place."""
+    names = ["h1", "h2", "k1", "k2", "s", "e"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (text, k1, k2) in enumerate(zip(b.column("text"), b.column("k1").to_pylist(), b.column("k2").to_pylist())):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                starts, ends = _words(data, np.array([0, len(data)]))
+                asked = np.zeros(len(starts) + 1, np.int32)
+                for a in b.column("asked")[i].as_py():
+                    asked[a["first"]] += 1
+                    asked[a["last"] + 1] -= 1
+                asked = np.cumsum(asked[:-1]) > 0
+                for x, y in _pieces(len(starts), words):
+                    at = np.flatnonzero(asked[x : y - words + 1])
+                    if len(at):
+                        h = [_word_grams(_word_sums(data, starts[x:y], ends[x:y], salt), words, at).view(np.int64) for salt in (0, 0xA5)]
+                        near = [starts[x + at].astype(np.int32), ends[x + at + words - 1].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*h, np.full(len(at), k1), np.full(len(at), k2), *near)], names=names)
+
+    return run
+
+
+def repeated_passages(texts: DataFrame, words: int, k: int = 8) -> DataFrame:
+    """(k1, k2, s, e): the bytes of each window of `words` words that starts twice in different texts (columns k1, k2, text) or in one.
+
+    Words are what white space parts, so what stands between them may differ. Anchors
+    are as above, in words. The windows of shared anchors are counted by two hashes of
+    their words, combined before the shuffle: no group is gathered, however common.
+    """
+    rows = cut(texts.select("k1", "k2", "text").mapInArrow(_word_anchor_rows(words, k), "k1 long, k2 long, first int, last int, anchor long"), "passage_anchors")
+    shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    asked = rows.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("asked"))
+    windows = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(_word_windows(words), "h1 long, h2 long, k1 long, k2 long, s int, e int")
+    windows = cut(windows, "passage_windows")
+    discard(rows)
+    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    out = cut(windows.join(twice, ["h1", "h2"]).select("k1", "k2", "s", "e"), "passages")
+    discard(windows)
+    return out
+
+
+def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, block: int = 32, with_text: bool = False, words: int = 0) -> DataFrame:
     """One row for each different text (null counts as empty), keyed by text_key(): n_bytes, n_removed, n_spans, kept_sha256, removed [s, e) spans, kept.
 
     kept, where asked for, is the text without its removed spans, these shrunk to whole
     code points so that it stays UTF-8. crowd: how many different stretches of one anchor
-    are sorted in one task before they are dealt by their cores instead.
+    are sorted in one task before they are dealt by their cores instead. words: passages
+    of so many words that start twice go as well, whatever their length; 0: none.
     """
     if length < 16:
         raise ValueError("length must be 16 bytes or more")
@@ -401,22 +520,29 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int =
     specimens = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(_specimens(length, block), _SPECIMEN_SCHEMA)
     judged = specimens.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(length), "k1 long, k2 long, s int, e int")
     same = rows.join(spans.where("n > 1").select("span", "check").distinct(), ["span", "check"]).select("k1", "k2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
-    cutting = cut(judged.unionByName(same).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix_cutting")
-    discard(rows, spans)
+    found = judged.unionByName(same)
+    if words:
+        found = cut(found, "suffix_found")
+        discard(rows, spans)
+        found = found.unionByName(repeated_passages(texts, words))
+    cutting = cut(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix_cutting")
+    if not words:
+        discard(rows, spans)
     done = texts.join(cutting, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans")
-    return done.mapInArrow(_apply(length, with_text), _RESULT_SCHEMA)
+    return done.mapInArrow(_apply(length, with_text, words), _RESULT_SCHEMA)
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, with_text: bool = False, words: int = 0) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, removed (and kept): every byte covered by a repeated `length`-byte string is removed.
 
     Strings are judged on the input: each of their places goes, and overlaps count. A
     null text is empty; a text shorter than `length` keeps all. Repeated rows repeat each
-    other's bytes, so from `length` bytes on they go whole. An empty table gives an empty
+    other's bytes, so from `length` bytes on they go whole. With words, each passage of
+    so many words that starts twice goes as well, however few its bytes. An empty table gives an empty
     table. Columns of docs with the names of the new ones are replaced; others stay.
     """
     new = [*_RESULT[2:], "k1", "k2"]
-    found = repeats(docs.select(text), text, length, crowd, with_text=with_text)
+    found = repeats(docs.select(text), text, length, crowd, with_text=with_text, words=words)
     found = found.select(*[F.col(c).alias(f"__{c}") for c in _RESULT if with_text or c != "kept"])
     k1, k2 = text_key(F.col(text))
     rows = docs.drop(*[c for c in new if c != text]).withColumn("__k1", k1).withColumn("__k2", k2).join(found, ["__k1", "__k2"]).drop("__k1", "__k2")

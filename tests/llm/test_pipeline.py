@@ -74,3 +74,47 @@ def test_missing_subpackage_leaves_the_rest(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'paired_rows' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_passages_of_51_words(spark):
+    """51 short words that two documents share go, 50 stay; byte by byte as by brute force."""
+    rng = random.Random(51)
+    say = lambda k: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}"[: rng.randint(2, 5)] for _ in range(k))
+    p51, p50, own = say(51), say(50), say(60)
+    texts = [f"{say(30)} {p51} {say(20)}", f"{say(9)}  {p51}\n{say(70)}", f"{say(30)} {p50} {say(5)}", f"{say(3)} {p50} {say(40)}", f"{own} x {own}", p51, "é " * 60 + say(5), say(50), "", " \n", say(300)]
+    assert len(p51) < 400
+    rows = [(i, t, len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: r for r in P.cut_repeats(spark, docs, "").collect()}
+
+    import re
+
+    where = {}
+    for i, t in enumerate(texts):
+        words = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+        for j in range(len(words) - 50):
+            where.setdefault(tuple(w[0] for w in words[j : j + 51]), []).append((i, words[j].start(), words[j + 50].end()))
+    gone = [set() for _ in texts]
+    for places in where.values():
+        for i, s, e in places if len(places) > 1 else []:
+            gone[i] |= set(range(s, e))
+    want = {i: "".join(c for x, c in enumerate(t) if x not in gone[i]) for i, t in enumerate(texts)}
+    want = {i: t for i, t in want.items() if t.strip() or not gone[i]}
+    assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(want[i]) for i, r in got.items())
+    assert 5 not in want and p51 not in want[0] and p50 in want[2] and own not in want[4]
+
+
+@pytest.mark.parametrize("size", [7, 1 << 17])
+def test_long_texts_are_taken_in_pieces(size):
+    from scenespark.llm import suffix as X
+
+    words = [f"w{random.Random(i).randint(0, 30)}" for i in range(400)]
+    data = X.np.frombuffer(" ".join(words).encode(), X.np.uint8)
+    starts, ends = X._words(data, X.np.array([0, len(data)]))
+    seen = {}
+    for x, y in X._pieces(len(starts), 51, size):
+        first, last, anchor = X.word_anchors(data, starts[x:y], ends[x:y], X.np.zeros(y - x, int), 51, 8)
+        for f, z, a in zip(first.tolist(), last.tolist(), anchor.tolist()):
+            seen.update({i + x: a for i in range(f, z + 1)})
+    whole = X.word_anchors(data, starts, ends, X.np.zeros(len(starts), int), 51, 8)
+    assert seen == {i: a for f, z, a in zip(*(v.tolist() for v in whole)) for i in range(f, z + 1)} and len(seen) == 350
