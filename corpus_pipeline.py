@@ -2,7 +2,8 @@
 
 toxicity: documents that the lexicon model rejects go. The model learns from sf_dir's
     labels, those held out excepted.
-simhash: of each near-duplicate component the document with the least id stays.
+simhash: of each near-duplicate component the document with the least id stays; links
+    are SimHashes within 4 bits and five-word Jaccard similarities of 0.8 or more.
 suffix: every byte that a repeated 400-byte string or a repeated passage of over 50
     words covers is cut out of the texts; documents of which nothing but white space is left after a cut go.
 decontaminate: documents with a window of a benchmark item go.
@@ -14,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import new_path, release, text_key
+from scenespark.llm.common import cut, new_path, release, text_key
+from scenespark.llm.components import components
 from scenespark.llm.decontaminate import decontaminate
 from scenespark.llm.entry import held_out
 from scenespark.llm.mixing import mix
+from scenespark.llm.resemblance import resembling
 from scenespark.llm.simhash import near_duplicates
 from scenespark.llm.suffix import dedup_substrings
 from scenespark.llm.toxicity import fit, score
@@ -25,6 +28,9 @@ from scenespark.llm.toxicity import fit, score
 #: A passage of over 50 words that repeats is cut, whatever its length in bytes.
 WORDS = 51
 
+#: Texts of this five-word Jaccard similarity or more are near-duplicates, whatever their SimHashes.
+SIMILAR = 0.8
+
 # Each stage begins with release(): its predecessor's rows are written by then, so the
 # scratch tables that they were made from can go.
 
@@ -40,7 +46,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     release(spark)
     k1, k2 = text_key(F.col("text"))
     keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
-    found = near_duplicates(keyed, keep=["__k1", "__k2"])
+    found = cut(near_duplicates(keyed, keep=["__k1", "__k2"]), "near_found")
+    texts = cut(keyed.groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.coalesce(F.first("text"), F.lit("")).alias("text")), "near_texts")
+    of = found.select("__k1", "__k2", "component").distinct()
+    side = lambda x: of.select(F.col("__k1").alias(f"{x}1"), F.col("__k2").alias(f"{x}2"), F.col("component").alias(x))
+    edges = resembling(texts, SIMILAR).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    wider = components(edges.where("a <> b"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    found = found.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component"))
     # Of a component the text with the least id, and of that text's rows the first: texts are shuffled once, copies combined before.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("b")
     kept = found.groupBy("component").agg(first).select("b.__k1", "b.__k2")

@@ -118,3 +118,29 @@ def test_long_texts_are_taken_in_pieces(size):
             seen.update({i + x: a for i in range(f, z + 1)})
     whole = X.word_anchors(data, starts, ends, X.np.zeros(len(starts), int), 51, 8)
     assert seen == {i: a for f, z, a in zip(*(v.tolist() for v in whole)) for i in range(f, z + 1)} and len(seen) == 350
+
+
+def test_near_copies_at_0_8_go(spark):
+    """Every pair whose exact five-word similarity is 0.8 or more is linked, and no clean text goes."""
+    rng = random.Random(80)
+    say = lambda k: [f"w{rng.randint(0, 99999)}" for _ in range(k)]
+    texts = [say(150) for _ in range(60)]
+    texts += [[*t[:20], "changed", *t[21 : 60 + i], "again", *t[61 + i :]] for i, t in enumerate(texts[:40])]
+    texts += [t[:90] + say(60) for t in texts[40:50]]  # similarity under 0.5: stays
+    texts += [say(3), say(3)]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+
+    sets = [{tuple(t[j : j + 5]) for j in range(max(1, len(t) - 4))} for t in texts]
+    gone = {j for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in P.drop_near_duplicates(spark, docs, "").collect()}
+    assert len(gone) == 40 and kept == set(range(len(texts))) - gone
+
+
+def test_crowded_buckets_are_not_gathered(spark):
+    from scenespark.llm.resemblance import resembling
+
+    line = [f"w{i}" for i in range(200)]
+    rows = [(i, -i, " ".join([*line[:100], f"x{i}", *line[100:]])) for i in range(80)]
+    found = resembling(spark.createDataFrame(rows, "k1 long, k2 long, text string"), crowd=8).collect()
+    assert {x for r in found for x in (r["a1"], r["b1"])} == set(range(80)) and len(found) < 80 * 79 / 2
