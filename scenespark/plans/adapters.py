@@ -65,19 +65,19 @@ SELECT CAST(item_id AS STRING) AS id, CASE item_id % 3 WHEN 0 THEN concat('proct
 FROM benchmark
 """
 
-#: Scenes from customers: rooms are the first customers of a nation.
+#: Scenes from customers: a nation's customers, 750 keys (about 30 rooms) a scene, so that scenes grow in number with the data.
 ROOMS = """
-SELECT concat('scene_', c_nationkey) AS scene_id, CAST(c_custkey AS STRING) AS room_id, CAST(rn AS INT) AS room_ord, c_mktsegment AS category,
+SELECT concat('scene_', c_nationkey, '_', block) AS scene_id, CAST(c_custkey AS STRING) AS room_id, CAST(rn AS INT) AS room_ord, c_mktsegment AS category,
        CASE WHEN c_nationkey % 3 = 0 THEN CAST(NULL AS STRING) WHEN rn % 11 = 0 THEN CAST(NULL AS STRING) ELSE CAST(rn % 2 AS STRING) END AS floor,
        CASE WHEN rn % 13 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST((c_custkey * 37) % 101 AS DOUBLE) / 10 END AS x, CAST((c_custkey * 11) % 7 AS DOUBLE) / 10 AS y, CAST((c_custkey * 53) % 97 AS DOUBLE) / 10 AS z
-FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn FROM customer) c WHERE rn < 30
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, block ORDER BY c_custkey) - 1 AS rn FROM (SELECT *, CAST(floor(c_custkey / 750) AS INT) AS block FROM customer) k) c
 """
 
-#: A tree over each scene's rooms with a few chords; the last rooms have no door.
+#: A tree over each scene's rooms with a few chords; the last four of each 30 rooms have no door.
 ADJACENCY = """
 SELECT scene_id, src, dst, CAST(row_number() OVER (PARTITION BY scene_id, src ORDER BY d) - 1 AS INT) AS nbr_ord
 FROM (SELECT a.scene_id, a.room_id AS src, b.room_id AS dst, b.room_ord AS d
-      FROM rooms a JOIN rooms b ON a.scene_id = b.scene_id AND a.room_ord < 26 AND b.room_ord < 26
+      FROM rooms a JOIN rooms b ON a.scene_id = b.scene_id AND a.room_ord % 30 < 26 AND b.room_ord % 30 < 26
        AND (a.room_ord = floor((b.room_ord - 1) / 2) AND b.room_ord > 0 OR b.room_ord = floor((a.room_ord - 1) / 2) AND a.room_ord > 0
             OR abs(a.room_ord - b.room_ord) = 7 AND (a.room_ord + b.room_ord) % 9 = 0)) e
 """
