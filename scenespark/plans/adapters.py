@@ -97,7 +97,6 @@ SELECT s.scene_id, CAST(row_number() OVER (PARTITION BY s.scene_id ORDER BY l.l_
 FROM lineitem l JOIN objects s ON CAST(l.l_orderkey AS STRING) = s.object_id
      JOIN (SELECT scene_id, max(obj_ord) + 1 AS n FROM objects GROUP BY scene_id) c ON c.scene_id = s.scene_id
      JOIN objects o ON o.scene_id = s.scene_id AND o.obj_ord = (s.obj_ord * 5 + l.l_partkey) % c.n
-WHERE l.l_linenumber <= 4
 """
 
 #: Judge texts from conversations: numbered lines with verdicts, some in thought.

@@ -10,6 +10,7 @@ def sf_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     tables = {
         "customer": ([(i, i % 3, "BUILDING") for i in range(1, 1701)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+        "lineitem": ([(i, n, i % 7, i * n, 1.0) for i in range(1, 1701) for n in range(1, 8)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double"),
         "orders": ([(i, i, "1-URGENT") for i in range(1, 1701)], "o_orderkey long, o_custkey long, o_orderpriority string"),
     }
     for name, (rows, schema) in tables.items():
@@ -24,3 +25,8 @@ def test_every_customer_is_a_room(spark, sf_dir):
     assert shape(spark, sf_dir, "objects").count() == 1700
     doors = {r["src"] for r in shape(spark, sf_dir, "adjacency").select("src").collect()}
     assert len(doors & {r[1] for r in rooms if r[2] >= 30}) > 1000
+
+
+def test_every_line_item_is_a_relation(spark, sf_dir):
+    relations = shape(spark, sf_dir, "relations")
+    assert relations.count() == 7 * 1700 == relations.select("scene_id", "rel_ord").distinct().count()
