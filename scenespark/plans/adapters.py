@@ -58,7 +58,7 @@ FROM events
 #: Questions from benchmark items: id, scene, type, style and a pair for most.
 QUESTIONS = """
 SELECT CAST(item_id AS STRING) AS id, CASE item_id % 3 WHEN 0 THEN concat('procthor_', item_id % 4) WHEN 1 THEN concat('3rscan_', item_id % 4) ELSE concat('Building', item_id % 4) END AS scene_id,
-       split_part(text, '.', 1) AS text, split_part('connectivity,planning,aggregation,direction,object_relation,route,unheard_of', ',', CAST(item_id % 7 AS INT) + 1) AS question_type,
+       text, split_part('connectivity,planning,aggregation,direction,object_relation,route,unheard_of', ',', CAST(item_id % 7 AS INT) + 1) AS question_type,
        CASE WHEN item_id % 5 = 0 THEN CAST(NULL AS STRING) WHEN item_id % 2 = 0 THEN 'natural' ELSE 'constructed' END AS question_style,
        CASE WHEN item_id % 10 = 9 THEN CAST(NULL AS STRING) ELSE concat('p', CAST(floor(item_id / 6) AS INT)) END AS pair_id,
        split_part(text, ' ', 1) AS fact_1, split_part(text, ' ', 2) AS fact_2, split_part(text, ' ', 3) AS fact_3, item_id % 4 AS n_facts
@@ -101,7 +101,7 @@ FROM lineitem l JOIN objects s ON CAST(l.l_orderkey AS STRING) = s.object_id
 
 #: Judge texts from conversations: numbered lines with verdicts, some in thought.
 JUDGED = """
-SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN concat('<think>', substring(text, 1, 40), '</think>  ', substring(text, 41, 60)) WHEN conv_id % 3 = 1 THEN concat(substring(text, 1, 50), '<think>', substring(text, 51, 20)) ELSE concat('  ', text) END AS text
+SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN concat('<think>', substring(text, 1, 40), '</think>  ', substring(text, 41)) WHEN conv_id % 3 = 1 THEN concat(substring(text, 1, 50), '<think>', substring(text, 51)) ELSE concat('  ', text) END AS text
 FROM conversations
 """
 
