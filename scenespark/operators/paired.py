@@ -12,9 +12,17 @@ from pyspark.sql import functions as F
 
 from .. import registry as R
 from ..functions.keys import rounded, row_key
+from ..functions.storage import cut
 from .cells import in_scope
 from .stats import CELL, RUN, cells_of, gate_reason, question_stats
 
+
+def _stats(results: DataFrame, *extra: str) -> tuple[DataFrame, DataFrame]:
+    """Question statistics and cells, written once: every step after them reads tables far smaller than the results."""
+    questions = cut(question_stats(results, *extra), "question_stats")
+    return questions, cut(cells_of(questions, *extra), "cells")
+
+
 PAIR = ["axis_id", "host", "qt", "rep_a", "rep_b"]
 RUNPAIR = [*RUN, *PAIR]
 
@@ -137,9 +145,8 @@ def _factsets(deltas: DataFrame, pair_ids: DataFrame | None) -> DataFrame:
 
 def paired_rows(results: DataFrame, pair_ids: DataFrame | None = None, axes: list[R.Axis] | None = None, digits: int | None = None) -> DataFrame:
     """All declared comparisons by axis and probe type."""
-    questions = question_stats(results)
-    cells = cells_of(questions)
-    deltas = _factsets(question_deltas(questions, declared_pairs(cells, axes)), pair_ids)
+    questions, cells = _stats(results)
+    deltas = _factsets(question_deltas(questions, cut(declared_pairs(cells, axes), "pairs")), pair_ids)
     return summarise(deltas, cells, True, digits, axes=axes)
 
 
@@ -150,8 +157,10 @@ def pooled(paired: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def anchor_lifts(results: DataFrame, anchor: str, axis_id: str, digits: int | None = None) -> DataFrame:
     """Every evaluated representation in scope against one anchor, by question type and host."""
-    questions = question_stats(results)
-    cells = cells_of(questions)
+    return _lifts(*_stats(results), anchor, axis_id, digits)
+
+
+def _lifts(questions: DataFrame, cells: DataFrame, anchor: str, axis_id: str, digits: int | None) -> DataFrame:
     return summarise(question_deltas(questions, anchor_pairs(cells, anchor, axis_id)), cells, False, digits)
 
 
@@ -172,8 +181,7 @@ def structure_lift(results: DataFrame, digits: int | None = None) -> DataFrame:
 def planning_lifts(results: DataFrame, digits: int | None = None) -> DataFrame:
     """Planning comparisons: with both anchors, and licensed pairs that reuse an axis; with the role of each."""
     spark = results.sparkSession
-    questions = question_stats(results.where(F.col("question_type") == "planning"))
-    cells = cells_of(questions)
+    questions, cells = _stats(results.where(F.col("question_type") == "planning"))
     pairs = anchor_pairs(cells, R.NON_SPATIAL_ANCHOR, "non_spatial_anchor").unionByName(anchor_pairs(cells, R.FULL_RECORD_ANCHOR, "full_record_anchor"))
     fixed = spark.createDataFrame([(h, a, b, x) for h, a, b, x in R.PLANNING_PAIRS], "host string, rep_a string, rep_b string, axis_id string").withColumn("qt", F.lit("planning"))
     for side in ("rep_a", "rep_b"):
@@ -197,8 +205,7 @@ def planning_lifts(results: DataFrame, digits: int | None = None) -> DataFrame:
 
 def candidate_audit(results: DataFrame, digits: int | None = None) -> DataFrame:
     """synthesis against the full record, by host and type."""
-    questions = question_stats(results)
-    cells = cells_of(questions)
+    questions, cells = _stats(results)
     have = lambda rep, name: cells.where(F.col("rep") == rep).select(*RUN, "host", "qt", F.col("rep").alias(name))
     pairs = have(R.FULL_RECORD_ANCHOR, "rep_a").join(have(R.CANDIDATE, "rep_b"), [*RUN, "host", "qt"]).withColumn("axis_id", F.lit("candidate"))
     return summarise(question_deltas(questions, pairs.select(*RUNPAIR)), cells, False, digits)
@@ -227,10 +234,9 @@ def style_recut(results: DataFrame, pair_ids: DataFrame, axes: list[R.Axis] | No
     axes = _vocabulary_axes(axes)
     rows = results.where(F.col("question_style").isin(R.STYLES)).withColumn("__id", row_key())
     rows = rows.join(pair_ids.select("scene_id", F.col("id").alias("__id")).distinct(), ["scene_id", "__id"], "left_semi").withColumnRenamed("question_style", "style")
-    questions = question_stats(rows, "style")
-    cells = cells_of(questions, "style")
-    pairs = _only_tested(declared_pairs(cells, axes, "style"), axes)
-    found = summarise(question_deltas(questions, pairs, "style"), cells, False, digits, "style")
+    questions, cells = _stats(rows, "style")
+    pairs = cut(_only_tested(declared_pairs(cells, axes, "style"), axes), "pairs")
+    found = cut(summarise(question_deltas(questions, pairs, "style"), cells, False, digits, "style"), "style_recut")
     every = found.select(*RUNPAIR).distinct().withColumn("style", F.explode(F.array(*[F.lit(s) for s in R.STYLES])))
     return every.join(found, [*RUNPAIR, "style"], "left")
 
@@ -238,8 +244,8 @@ def style_recut(results: DataFrame, pair_ids: DataFrame, axes: list[R.Axis] | No
 def matched_factsets(results: DataFrame, pair_ids: DataFrame, axes: list[R.Axis] | None = None, digits: int | None = None) -> DataFrame:
     """Within each pair of wordings: the delta of the constructed less that of the natural one, by scene, with a verdict."""
     axes = _vocabulary_axes(axes)
-    questions = question_stats(results, "question_style")
-    cells = cells_of(questions)
+    questions = cut(question_stats(results, "question_style"), "question_stats")
+    cells = cut(cells_of(questions), "cells")
     pairs = _only_tested(declared_pairs(cells, axes), axes)
     deltas = question_deltas(questions.where(F.col("question_style").isin(R.STYLES)), pairs.crossJoin(F.broadcast(pairs.sparkSession.createDataFrame([(s,) for s in R.STYLES], "question_style string"))), "question_style")
     named = pair_ids.select("scene_id", F.col("id").alias("__id"), "pair_id")
@@ -256,15 +262,25 @@ def matched_factsets(results: DataFrame, pair_ids: DataFrame, axes: list[R.Axis]
     return out.select(*RUNPAIR, F.map_from_entries("e").alias("scene_deltas"), "d_natural", "d_constructed", "mean", "n_factsets", "verdict", "ineligible")
 
 
-def _matched_runs(paired: DataFrame, results: DataFrame) -> DataFrame:
+def _matched_runs(paired: DataFrame, judges: DataFrame) -> DataFrame:
     """Comparisons of two models side by side: model (here), other, and whether their judges agree."""
-    judges = results.groupBy("model").agg(F.array_sort(F.collect_set("judge")).alias("judges"))
     rows = paired.where(~F.col("pooled_forbidden")).groupBy("model", *PAIR).agg(F.first("mean").alias("mean"), F.first(F.array_sort(F.map_keys("scene_deltas"))).alias("scene_set"))
-    rows = rows.join(judges, "model")
+    rows = rows.join(judges.select("model", "judges"), "model")
     there = rows.select(F.col("model").alias("other"), *PAIR, F.col("mean").alias("mean_there"), F.col("scene_set").alias("set_there"), F.col("judges").alias("judges_there"))
     return rows.join(there, PAIR).where("model <> other")
 
 
+def _runs(results: DataFrame, digits: int | None) -> tuple[DataFrame, DataFrame]:
+    """The paired table and, by model, its judges and representations; both written, since models are compared with one another."""
+    judges = results.groupBy("model").agg(F.array_sort(F.collect_set("judge")).alias("judges"), F.array_sort(F.collect_set("representation")).alias("reps"))
+    return cut(paired_rows(results, digits=digits), "paired"), cut(judges, "judges")
+
+
+def _checked(both: DataFrame) -> DataFrame:
+    both = both.where("judges = judges_there AND scene_set = set_there")
+    return both.select("model", "other", *PAIR, "mean", "mean_there", F.size("scene_set").alias("scenes"), outcome(F.col("mean"), F.col("mean_there")).alias("outcome"))
+
+
 def outcome(here: Column, there: Column) -> Column:
     """How the other model orders a comparison; a mean within the margin is no separation."""
     state = lambda d: F.when(d >= R.PRACTICAL_MARGIN, 1).when(d <= -R.PRACTICAL_MARGIN, -1).otherwise(0)
@@ -278,19 +294,18 @@ def outcome(here: Column, there: Column) -> Column:
 
 def cross_model_check(results: DataFrame, digits: int | None = None) -> DataFrame:
     """Comparisons of each two models with the same judges and the same scenes, with the outcome. The paired table is tiny: one row a model and comparison."""
-    both = _matched_runs(paired_rows(results, digits=digits), results).where("judges = judges_there AND scene_set = set_there")
-    return both.select("model", "other", *PAIR, "mean", "mean_there", F.size("scene_set").alias("scenes"), outcome(F.col("mean"), F.col("mean_there")).alias("outcome"))
+    return _checked(_matched_runs(*_runs(results, digits)))
 
 
 def cross_model_gaps(results: DataFrame, digits: int | None = None) -> DataFrame:
     """By two models: how many comparisons match and how they come out, how many have other scenes, which axes have no match, and the representations never run there."""
-    paired = paired_rows(results, digits=digits)
-    judges = results.groupBy("model").agg(F.array_sort(F.collect_set("judge")).alias("judges"), F.array_sort(F.collect_set("representation")).alias("reps"))
+    paired, judges = _runs(results, digits)
     two = judges.select("model", "judges").join(judges.select(F.col("model").alias("other"), "judges", F.col("reps").alias("reps_there")), "judges").where("model <> other")
-    check = cross_model_check(results, digits)
+    both = cut(_matched_runs(paired, judges), "matched_runs")
+    check = _checked(both)
     names = [R.PRESERVED, R.REVERSED, R.LEANS_SAME, R.LEANS_OPPOSITE, R.ONLY_THERE, R.NULL_BOTH]
     tally = check.groupBy("model", "other").agg(F.count(F.lit(1)).alias("matched"), *[F.count_if(F.col("outcome") == n).alias(k) for n, k in zip(names, ("preserved", "reversed", "leans_same", "leans_opposite", "only_there", "neither"))], F.collect_set("axis_id").alias("axes_matched"))
-    mism = _matched_runs(paired, results).where("judges = judges_there AND scene_set <> set_there").groupBy("model", "other").agg(F.count(F.lit(1)).alias("mismatched"))
+    mism = both.where("judges = judges_there AND scene_set <> set_there").groupBy("model", "other").agg(F.count(F.lit(1)).alias("mismatched"))
     here = paired.where(~F.col("pooled_forbidden")).select("model", *PAIR).distinct()
     lost = two.join(here, "model").join(here.withColumnRenamed("model", "other"), ["other", *PAIR], "left_anti")
     absent = F.filter(F.array("rep_a", "rep_b"), lambda r: ~F.array_contains("reps_there", r))
@@ -304,14 +319,13 @@ def cross_model_gaps(results: DataFrame, digits: int | None = None) -> DataFrame
 def axis_cards(results: DataFrame, digits: int | None = None) -> DataFrame:
     """By axis and probe type: anchors and ladder in order with their cells and lift over inventory; only where two or more have cells."""
     spark = results.sparkSession
-    questions = question_stats(results)
-    cells = cells_of(questions)
+    questions, cells = _stats(results)
     rungs = in_scope(R.axis_rungs(spark), "rep", "qt", "host").where("in_scope").select("axis_id", "host", "qt", "rung", "rep")
     ends = rungs.select("axis_id", "host", "qt").distinct()
     ends = ends.select("*", F.lit(-1).alias("rung"), F.lit(R.NON_SPATIAL_ANCHOR).alias("rep")).unionByName(ends.select("*", F.lit(999).alias("rung"), F.lit(R.FULL_RECORD_ANCHOR).alias("rep")))
     rows = cells.join(F.broadcast(rungs.unionByName(ends)), ["host", "qt", "rep"])
     shown = rows.groupBy(*RUN, "axis_id", "qt").agg(F.count(F.lit(1)).alias("k")).where("k >= 2").drop("k")
-    lifts = non_spatial_lifts(results, digits).select(*RUN, "host", "qt", F.col("rep_b").alias("rep"), F.col("mean").alias("lift"), F.col("verdict").alias("lift_verdict"))
+    lifts = _lifts(questions, cells, R.NON_SPATIAL_ANCHOR, "non_spatial_anchor", digits).select(*RUN, "host", "qt", F.col("rep_b").alias("rep"), F.col("mean").alias("lift"), F.col("verdict").alias("lift_verdict"))
     out = rows.join(shown, [*RUN, "axis_id", "qt"], "left_semi").join(lifts, [*RUN, "host", "qt", "rep"], "left")
     own = (F.col("rep") == R.NON_SPATIAL_ANCHOR) & (F.col("n_scored") > 0)
     lift = F.when(own, 0.0).when(F.col("lift_verdict") != R.NOT_LICENSED, F.col("lift"))

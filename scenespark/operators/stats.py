@@ -49,14 +49,11 @@ def aggregate_groups(results: DataFrame) -> DataFrame:
 
 def operational_total(results: DataFrame) -> DataFrame:
     """Counts by (model, judge, host, rep, qt) and one row for all, by one aggregate with grouping sets; no quality columns."""
-    counts = question_stats(results)
-    counts.createOrReplaceTempView("__question_counts")
-    spark = results.sparkSession
-    return spark.sql("""
+    return results.sparkSession.sql("""
         SELECT coalesce(model, 'ALL') AS model, coalesce(judge, 'ALL') AS judge, coalesce(host, 'ALL') AS host, coalesce(rep, 'ALL') AS rep,
                CASE WHEN grouping_id() = 0 THEN qt ELSE 'operational-total' END AS qt,
                sum(n) AS n, sum(error_count) AS error_count, sum(context_exceeded) AS context_exceeded, sum(n_ac) AS n_scored, sum(n_ac) / sum(n) AS coverage
-        FROM __question_counts GROUP BY GROUPING SETS ((model, judge, host, rep, qt), ())""")
+        FROM {counts} GROUP BY GROUPING SETS ((model, judge, host, rep, qt), ())""", counts=question_stats(results))
 
 
 def cells_of(questions: DataFrame, *extra: str) -> DataFrame:

@@ -105,9 +105,16 @@ SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN concat('<think>', substring
 FROM conversations
 """
 
+#: Parts of a judge's text from conversations: a numbered verdict a turn, in one of seven forms by its length, and the turn's text below.
+RUBRICS = """
+SELECT conv_id, k, concat(CAST(CASE WHEN length(text) % 17 = 0 THEN 99 ELSE k END AS STRING), '. ', CASE CAST(length(text) % 7 AS INT) WHEN 0 THEN '**YES** — stated' WHEN 1 THEN 'NO: absent' WHEN 2 THEN concat('YES the fact again', chr(10), '   - NO')
+             WHEN 3 THEN 'Not stated - left out' WHEN 4 THEN concat('a remark of many words on it - so', chr(10), '  YES') WHEN 5 THEN 'YES the fact again' ELSE concat('no, not yet', chr(10), '- ', CAST(k AS STRING), ') `Yes`') END, chr(10), text) AS line
+FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations) t
+"""
+
 _SHAPES = {
     "results": (RESULTS, []), "coverage_results": (COVERAGE, []), "pairs": (PAIRS, ["results"]), "log": (LOG, []), "questions": (QUESTIONS, []), "rooms": (ROOMS, []),
-    "adjacency": (ADJACENCY, ["rooms"]), "objects": (OBJECTS, ["rooms"]), "relations": (RELATIONS, ["rooms", "objects"]), "judged": (JUDGED, []),
+    "adjacency": (ADJACENCY, ["rooms"]), "objects": (OBJECTS, ["rooms"]), "relations": (RELATIONS, ["rooms", "objects"]), "judged": (JUDGED, []), "rubrics": (RUBRICS, []),
 }
 
 

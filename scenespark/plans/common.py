@@ -24,8 +24,8 @@ def r9(expr: str) -> str:
 
 def fits(rep: str, qt: str, host: str) -> bool:
     """Scope by the registry, for the SQL side."""
-    alts = [set(n.split()) for q, h, _, n in R.TYPE_NEEDS if q == qt and h in (None, host)]
-    return not alts or any(a <= set(R.REP_CAPS.get(rep, " ".join(R.CAPABILITIES)).split()) for a in alts)
+    alts = [set(n) for q, h, _, n in R.TYPE_NEEDS if q == qt and h in (None, host)]
+    return not alts or any(a <= set(R.REP_CAPS.get(rep, R.CAPABILITIES)) for a in alts)
 
 
 def values(rows: list[tuple], name: str, columns: str) -> str:

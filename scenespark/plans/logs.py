@@ -79,10 +79,10 @@ def _generate(s: SparkSession, d: str) -> DataFrame:
 
 
 def _rubric(s: SparkSession, d: str) -> DataFrame:
-    """Judge texts from conversations: each turn's number, and a verdict by its length."""
-    said = F.when(F.length("text") % 3 == 0, "**YES** — stated").when(F.length("text") % 3 == 1, "NO: absent").otherwise("YES the fact again\n   - NO")
-    lines = shape(s, d, "judged").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("v")))), lambda x: F.concat((x["turn"] + 1).cast("string"), F.lit(". "), x["v"])), "\n").alias("text"), (F.max("turn") + 1).cast("int").alias("n"))
-    out = lines.withColumn("r", J.parse_rubric("text", F.col("n")))
+    """Judge texts from conversations, each turn's verdict in one of seven forms with the turn's text below it, of as many facts as turns and one more for some."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n")
+    out = shape(s, d, "rubrics").groupBy("conv_id").agg(ordered.alias("text"), (F.count(F.lit(1)) + F.col("conv_id") % 2).alias("n"))
+    out = out.withColumn("r", J.parse_rubric("text", F.col("n")))
     return out.select("conv_id", F.array_join(F.transform("r.verdicts", lambda v: F.when(v, "Y").otherwise("N")), "").alias("verdicts"), "r.error")
 
 
@@ -119,6 +119,8 @@ _SCOPE = values([(r, q, h) for r in [*R.REP_CAPS, "own_view"] for q in [*_TYPES,
 _REPS = values([(r,) for r in [*R.REP_CAPS, "own_view"]], "reps", "representation")
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _BUDGET = _WINDOW - L.RESERVED_TOKENS
+_HEAD, _OPENS = r"^[-\s]*([0-9]+)[.)]\s*", r"(?i)^(yes|no)([^0-9A-Za-z_]|$)"
+_SHORT = r"^[^-–—:;,.!\s]+(\s+[^-–—:;,.!\s]+){0,2}\s*[-–—:;,.!]"
 
 ORACLES = {
     "error_class": _W("log") + "SELECT CASE WHEN error = '' THEN 'ok' WHEN error LIKE 'CONTEXT_EXCEEDED%' THEN 'context_exceeded' ELSE 'error' END AS error_class, representation, count(*) AS count FROM log GROUP BY ALL",
@@ -142,4 +144,21 @@ ORACLES = {
     "judge_prompt": _Q + f"SELECT q.scene_id, q.id, md5('Q ' || {_TRIM.format('q.text')} || ' A ' || q.scene_id || chr(10) || coalesce((SELECT string_agg(k || '. ' || fact, chr(10) ORDER BY k) FROM f WHERE f.id = q.id), '')) AS md5 FROM q",
     "tier_scores": _Q + """SELECT q.scene_id, q.id, round(sum(CASE WHEN length(fact) % 2 = 0 THEN w ELSE 0 END) FILTER (w > 1) / sum(w) FILTER (w > 1), 4) AS core, round(sum(CASE WHEN length(fact) % 2 = 0 THEN w ELSE 0 END) FILTER (w <= 1) / sum(w) FILTER (w <= 1), 4) AS detail,
     CASE WHEN coalesce(sum(w) FILTER (w > 1), 0) = 0 THEN 'no core fact' END AS error FROM q LEFT JOIN f ON f.id = q.id GROUP BY q.scene_id, q.id""",
+    "parse_rubric": _W("rubrics") + rf"""
+, rt AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS text, count(*) + conv_id % 2 AS n FROM rubrics GROUP BY conv_id),
+ln AS (SELECT conv_id, n, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM rt),
+br AS (SELECT *, regexp_replace(translate(line, '*`_', ''), '^\s+|\s+$', '', 'g') AS bare FROM ln),
+nm AS (SELECT *, CASE WHEN regexp_matches(bare, '{_HEAD}.') THEN coalesce(try_cast(regexp_extract(bare, '{_HEAD}', 1) AS INT), 0) END AS fact, regexp_replace(bare, '{_HEAD}', '') AS body FROM br),
+mk AS (SELECT *, lower(regexp_extract(body, '{_OPENS}', 1)) AS said, fact IS NOT NULL AND regexp_matches(body, '(?i)^(yes|no)\s*([-–—:;,.!]|$)') AS strong,
+              fact IS NOT NULL AND regexp_matches(body, '{_SHORT}') AS short, CASE WHEN fact IS NULL AND regexp_matches(line, '^[ \t*-]') THEN lower(regexp_extract(bare, '(?i)^[-•\s]*(yes|no)([^0-9A-Za-z_]|$)', 1)) ELSE '' END AS under FROM nm),
+ow AS (SELECT *, last_value(CASE WHEN fact BETWEEN 1 AND n THEN fact WHEN fact IS NOT NULL AND said = '' THEN 0 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY i) AS owner FROM mk),
+st AS (SELECT conv_id, fact AS k, arg_max(said = 'yes', i) AS yes FROM ow WHERE strong AND fact BETWEEN 1 AND n GROUP BY ALL),
+wk AS (SELECT conv_id, owner AS k, arg_min(under = 'yes', i) AS yes FROM ow WHERE owner BETWEEN 1 AND n AND (fact = owner AND said = '' AND short OR under <> '') GROUP BY ALL),
+fc AS (SELECT conv_id, n, unnest(generate_series(1, n)) AS k FROM rt),
+vd AS (SELECT fc.*, coalesce(st.yes, wk.yes) AS yes FROM fc LEFT JOIN st USING (conv_id, k) LEFT JOIN wk USING (conv_id, k))
+SELECT conv_id, string_agg(CASE WHEN yes THEN 'Y' ELSE 'N' END, '' ORDER BY k) AS verdicts,
+       CASE WHEN count(yes) < count(*) THEN 'no verdict for fact(s) [' || string_agg(CAST(k AS VARCHAR), ', ' ORDER BY k) FILTER (yes IS NULL) || '] of ' || CAST(any_value(n) AS VARCHAR) END AS error
+FROM vd GROUP BY conv_id""",
+    "batch_generate": """SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR length(text) % 7 = 0 THEN '' ELSE right(text, 20) END AS raw_answer, CAST(CASE WHEN doc_id % 11 = 0 OR length(text) % 7 = 0 THEN 0 ELSE floor(length(text) / 4) END AS INT) AS prompt_tokens,
+    CASE WHEN doc_id % 11 = 0 THEN 'context not found' WHEN length(text) % 7 = 0 THEN 'TimeoutError: no answer' END AS error FROM documents""",
 }

@@ -39,10 +39,12 @@ def test_verdict(spark, deltas, capped, gate, expected):
     [
         ("1. YES — seen\n2. NO: absent", 2, [True, False], None), ("**1.** YES, ok\n`2)` no", 2, [True, False], None), ("1. YES the fact restated\n   - NO", 1, [False], None), ("1. Not stated - reason", 1, [False], None),
         ("1. YES.\n1. NO.", 1, [False], None), ("1. YES", 2, [True, False], "no verdict for fact(s) [2] of 2"), ("", 0, [], None), ("7. YES", 1, [False], "no verdict for fact(s) [1] of 1"), ("1. a long remark of many words - so\n  YES it is", 1, [True], None),
+        (None, 1, [False], "no verdict for fact(s) [1] of 1"), ("1. YES again\n9. YES\n  no", 1, [False], None), ("1. YES again\n9. what was that\n  no", 1, [False], "no verdict for fact(s) [1] of 1"), ("2. left out: so\n2. YES\n1. no.\n2. gone: so", 2, [False, True], None),
     ],
 )
-def test_rubric(text, n, verdicts, error):
-    assert J.rubric_verdicts(text, n) == (verdicts, error)
+def test_rubric(spark, text, n, verdicts, error):
+    got = spark.createDataFrame([(text, n)], "text string, n int").select(J.parse_rubric("text", F.col("n")).alias("r")).first()["r"]
+    assert (got["verdicts"], got["error"]) == (verdicts, error)
 
 
 def test_judging_end_to_end(spark):
