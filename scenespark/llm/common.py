@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir where it is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; on a local master without one, as in tests, a folder of this session."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
@@ -97,27 +101,57 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
-def ranges_for(df: DataFrame, column: str, each: int = 64 << 20) -> int:
-    """How many ranges to deal rows into: one for each shuffle partition, and more where a range would hold over `each` bytes of column."""
-    total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // each))
+def below_share(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest `share` of its range, to the full width of the hash."""
+    return F.lit(True) if share >= 1 else h < min(int((share - 0.5) * 2**64), 2**63 - 1)
 
 
-def quantile_bounds(df: DataFrame, column: str, n: int) -> list[float]:
-    """At most n - 1 rising values that split a number column into n ranges of about equal size; nulls don't count."""
-    if n < 2:
-        return []
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    return sorted(set(values.approxQuantile("v", [i / n for i in range(1, n)], 0.25 / n)))
+def id_keys(df: DataFrame, column: str, nulls_last: bool = True) -> list[Column]:
+    """An id column as sort keys without nulls: whether it is null, then the value; integers by value, other types by their text."""
+    c = F.col(column)
+    whole = df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+    null = c.isNull() if nulls_last else c.isNotNull()
+    return [null.cast("int"), F.coalesce(c.cast("long"), F.lit(0).cast("long")) if whole else F.coalesce(c.cast("string"), F.lit(""))]
+
 
+def range_bounds(rows: DataFrame, keys: list[str], size: Column, ranges: int | None = None, each: int = 8 << 20, most: int = 1 << 16, per: int = 16) -> list[tuple]:
+    """Rising keys, each the greatest of a range of about equal bytes; keys: columns without nulls, integers or strings.
 
-def range_index(value: Column, bounds: list[float]) -> Column:
-    """How many of the rising bounds are at most value: whole groups of 64 first, then one group; null for null."""
-    lits = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<double>")
-    passed = lambda xs: F.size(F.filter(xs, lambda b: b <= value))
-    group = passed(lits(bounds[63::64]))
-    index = group * 64 + passed(F.slice(lits(bounds), group * 64 + 1, 64))
-    return F.when(value.isNotNull(), index)
+    There is a range for each shuffle partition, and more where one would hold over `each`
+    bytes, up to `most`. Bounds come from a sample of `per` rows a range, taken by a hash
+    of the keys, so equal rows always get equal bounds; only that sample reaches the
+    driver. Keys are whole sort keys, so rows of one id are dealt to several ranges where
+    they are many.
+    """
+    k = [F.col(c) for c in keys]
+    n, total, top = rows.agg(F.count(F.lit(1)), F.sum(size), F.max(F.struct(*k))).first()
+    if not n:
+        return []
+    want = ranges or min(most, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // each)))
+    share = min(1.0, per * want / n)
+    picked = rows.where(below_share(F.xxhash64(*k), share))
+    sample = sorted((tuple(r[:-1]), r[-1] or 0) for r in picked.select(*k, size.alias("__size")).collect())
+    out, passed, step = [], 0, max(1.0, sum(b for _, b in sample) / want)
+    for key, b in sample:
+        passed += b
+        if passed >= step * (len(out) + 1) and (not out or key != out[-1]):
+            out.append(key)
+    out = [key for key in out[: want - 1] if key < tuple(top)]
+    return [*out, tuple(top)]
+
+
+def range_code(bounds: list[tuple], *keys: str) -> Column:
+    """Twice the range that keys fall in, and one more for a range's greatest key. The bounds travel as data of the task, not as literals of the plan."""
+
+    @F.arrow_udf("int")
+    def code(*columns: pa.Array) -> pa.Array:
+        out = []
+        for key in zip(*(c.to_pylist() for c in columns)):
+            i = bisect_left(bounds, key)
+            out.append(2 * i + (bounds[i] == key))
+        return pa.array(out, pa.int32())
+
+    return code(*keys)
 
 
 def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:

@@ -1,141 +1,147 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-A document and a benchmark item share a window of `window` words or more only if
-they share a winnowing fingerprint: the least hash among the k-grams of such a
-window is the same on both sides. So
-  1. each document yields the least k-gram hash of every window (a value that the
-     next windows share is kept once),
-  2. those join the items' fingerprints; the items' table is written first, so that
-     Spark knows its size and broadcasts it or shuffles both sides by that size,
-  3. the documents with a joint fingerprint are tokenized again, the places of the
-     joint k-grams give diagonals (place in the document less place in the item), and
-     each diagonal's words are compared; runs of `window` equal words or more count.
-Items shorter than a window have one window, the whole item. They are found by the
-hash of all their words, at each position of a document, one length at a time.
+A document and a benchmark item share a window of `window` words only if they share a
+winnowing fingerprint: the least hash among the k-grams of such a window is the same on
+both sides. So
+  1. each document yields the least k-gram hash of every window, and those that some item
+     has stay: a semi-join on bare hashes, which pairs no document with any item,
+  2. documents with such a hash are tokenized again, and each place of a hit is extended
+     to the windows around it,
+  3. those windows meet the items' windows word for word. An item's windows are kept once
+     however many items share them, with a class that stands for the set of those items,
+     so a phrase that all documents and many items have costs each document one row.
+Items shorter than a window have one window, the whole item; its hash is its fingerprint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, text_key
+from .common import ascii_lower, cut, discard, text_key
 
 #: After lower-casing A-Z: digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing, for counting.
+_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_KEY = ["__k1", "__k2"]
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _grams(h: Column, n: int) -> Column:
-    """The hash of each n consecutive words, from the words' hashes; empty where there are fewer."""
-    at = F.sequence(F.lit(0), F.size(h) - n)
-    return F.when(F.size(h) >= n, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _minima(g: Column, w: int) -> Column:
-    """The least of each w consecutive k-gram hashes, without repeats: the fingerprints."""
-    at = F.sequence(F.lit(0), F.size(g) - w)
-    least = F.transform(at, lambda i: F.least(*[F.get(g, i + j) for j in range(w)]) if w > 1 else F.get(g, i))
-    return F.when(F.size(g) >= w, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _runs(eq: Column, need: Column) -> Column:
-    """[s, e) of each run of at least `need` true values."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
+def _key(text: Column) -> list[Column]:
+    return [k.alias(name) for k, name in zip(text_key(text), _KEY)]
 
-    def close(acc: Column) -> Column:
-        run = F.array(F.struct(acc["s"].alias("s"), acc["i"].alias("e")))
-        return F.when(acc["i"] - acc["s"] >= need, F.concat(acc["r"], run)).otherwise(acc["r"])
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.when(x, acc["s"]).otherwise(acc["i"] + 1)
-        return F.struct((acc["i"] + 1).alias("i"), start.alias("s"), F.when(x, acc["r"]).otherwise(close(acc)).alias("r"))
+def _joined(a: str, b: str, shift: int, op: Callable[[Column, Column], Column]) -> Column:
+    """op of a's elements and those of b that lie shift further, as far as b goes."""
+    size = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, 1, size), F.slice(b, shift + 1, size), op)
 
-    return F.aggregate(eq, F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), none.alias("r")), step, close)
 
+def _over(df: DataFrame, source: str, n: int, out: str, op: Callable[[Column, Column], Column]) -> DataFrame:
+    """df with out: op over each n consecutive elements of source, by doubling; empty where there are fewer.
 
-def _key(text: Column) -> list[Column]:
-    return [k.alias(name) for k, name in zip(text_key(text), _KEY)]
+    Every step is a column of its own, so that it is computed once.
+    """
+    done, at = {1: source}, 1
+    while 2 * at <= n:
+        done[2 * at] = f"{out}{2 * at}"
+        df = df.withColumn(done[2 * at], _joined(done[at], done[at], at, op))
+        at *= 2
+    now, covered = done[at], at
+    for size in sorted(done, reverse=True):
+        if covered + size <= n:
+            name = f"{out}_{covered + size}"
+            df = df.withColumn(name, _joined(now, done[size], covered, op))
+            now, covered = name, covered + size
+    return df.withColumn(out, F.col(now))
+
+
+def _hashed(df: DataFrame, window: int, k: int, lengths: list[int]) -> DataFrame:
+    """df (w: words) with g, the k-gram hashes, m, the winnowed ones, and n<length>, the hashes of so many words, for items of so few."""
+    pair = lambda a, b: F.xxhash64(a, b)
+    df = df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    df = _over(df, "h", k, "g", pair)
+    df = _over(df, "g", window - k + 1, "m", lambda a, b: F.least(a, b))
+    for n in lengths:
+        df = _over(df, "h", n, f"n{n}", pair)
+    return df
 
 
-_KEY = ["__k1", "__k2"]
+def _fingerprints(lengths: list[int]) -> Column:
+    return F.array_distinct(F.concat("m", *[F.col(f"n{n}") for n in lengths]))
 
 
-def _index(items: DataFrame, item_id: str, text: str, window: int, k: int) -> DataFrame:
-    """The items' fingerprints with their places: (n, f, q, item, words, need)."""
-    rows = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("words")).where(F.size("words") > 0).distinct()
-    rows = rows.withColumn("need", F.least(F.size("words"), F.lit(window))).withColumn("h", F.transform("words", lambda x: F.xxhash64(x)))
-    out = rows.where(F.col("need") == window).withColumn("g", _grams(F.col("h"), k)).withColumn("m", _minima(F.col("g"), window - k + 1))
-    # A minimum counts at each of its places: the window that it stands for may be any of them.
-    out = out.select("item", "words", "need", "m", F.posexplode("g").alias("q", "f")).where(F.array_contains("m", F.col("f")))
-    out = out.select(F.lit(k).alias("n"), "f", "q", "item", "words", "need")
-    for n in range(1, window):
-        part = rows.where(F.col("need") == n).select(F.lit(n).alias("n"), F.get(_grams(F.col("h"), n), F.lit(0)).alias("f"), F.lit(0).alias("q"), "item", "words", "need")
-        out = out.unionByName(part)
-    return cut(out, "winnow_items")
+def _windows(items: DataFrame, item_id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Items as (w, n) and their windows as (win, class, ids): each window once, ids the sorted items that have it, class a hash of ids."""
+    rows = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    rows = rows.groupBy("w").agg(F.array_sort(F.array_compact(F.collect_set("item"))).alias("ids")).withColumn("n", F.least(F.size("w"), F.lit(window)))
+    rows = cut(rows, "winnow_items")
+    at = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
+    own = rows.select("ids", F.explode(F.array_distinct(F.transform(at, lambda s: F.array_join(F.slice("w", s, F.col("n")), " ")))).alias("win"))
+    own = own.groupBy("win").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    return rows, cut(own.withColumn("class", F.xxhash64("ids")), "winnow_windows")
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
     """One row for each different text with a hit: (__k1, __k2, spans, n_hit, item_ids).
 
-    spans: sorted [s, e) of words, one for each run that an item's windows cover; runs
-    of different items may overlap. item_ids: sorted as strings, without nulls.
+    spans: sorted [s, e) of words, the maximal runs that windows cover. item_ids: sorted
+    as strings, without nulls.
     """
-    index = _index(items, item_id, item_text, window, k)
-    lengths = sorted(r[0] for r in index.where(F.col("need") < window).select("n").distinct().collect())
-    h = F.transform(words(F.col(text)), lambda x: F.xxhash64(x))
-    hashed = docs.select(*_key(F.col(text)), h.alias("h"))
-    found = hashed.withColumn("g", _grams(F.col("h"), k)).select(*_KEY, F.explode(_minima(F.col("g"), window - k + 1)).alias("f"))
-    hits = found.join(index.where(F.col("need") == window), "f").select(*_KEY, "n", "f", "need", "item", "words", "q")
-    for n in lengths:
-        found = hashed.select(*_KEY, F.explode(F.array_distinct(_grams(F.col("h"), n))).alias("f"))
-        part = found.join(index.where(F.col("need") == n), "f").select(*_KEY, "n", "f", "need", "item", "words", "q")
-        hits = hits.unionByName(part)
-    hits = cut(hits.distinct(), "winnow_hits")
-
-    keys = hits.select(*_KEY).distinct()
-    # Copies are combined before the shuffle; the keys then join texts that lie by key already.
-    texts = docs.select(*_key(F.col(text)), F.col(text).alias("text")).groupBy(*_KEY).agg(F.first("text").alias("text")).join(keys, _KEY)
-    texts = cut(texts, "winnow_texts")
-    hashed = texts.select(*_KEY, F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    places = None
-    for n in sorted({k, *lengths}):
-        part = hashed.select(*_KEY, F.lit(n).alias("n"), F.posexplode(_grams(F.col("h"), n)).alias("i", "f"))
-        places = part if places is None else places.unionByName(part)
-    lines = places.join(hits, [*_KEY, "n", "f"]).select(*_KEY, "item", "words", "need", (F.col("i") - F.col("q")).alias("d")).distinct()
-    lines = lines.groupBy(*_KEY).agg(F.collect_list(F.struct("item", "words", "need", "d")).alias("lines"))
-
-    def matched(line: Column) -> Column:
-        """The runs along one diagonal, in words of the document."""
-        first = F.greatest(line["d"], F.lit(0))  # in the document
-        skip = first - line["d"]  # in the item
-        size = F.greatest(F.least(F.size("w") - first, F.size(line["words"]) - skip), F.lit(0))
-        eq = F.zip_with(F.slice("w", first + 1, size), F.slice(line["words"], skip + 1, size), lambda a, b: a == b)
-        runs = F.transform(_runs(eq, line["need"]), lambda r: F.struct((r["s"] + first).alias("s"), (r["e"] + first).alias("e")))
-        return F.struct(line["item"].alias("item"), runs.alias("runs"))
-
-    out = texts.join(lines, _KEY).select(*_KEY, "lines", words(F.col("text")).alias("w"))
-    out = out.select(*_KEY, F.filter(F.transform("lines", matched), lambda m: F.size(m["runs"]) > 0).alias("m")).where(F.size("m") > 0)
-    flat = F.flatten(F.transform("m", lambda m: m["runs"]))
-    hit_words = F.array_distinct(F.flatten(F.transform("spans", lambda r: F.sequence(r["s"], r["e"] - 1))))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("m", lambda m: m["item"]), lambda x: x.isNotNull())))
-    return out.select(*_KEY, F.array_sort(flat).alias("spans"), ids.alias("item_ids")).withColumn("n_hit", F.size(hit_words).cast("long"))
+    if not 1 <= k <= window:
+        raise ValueError("k must be between 1 and window")
+    rows, wins = _windows(items, item_id, item_text, window)
+    lengths = sorted(r[0] for r in rows.where(F.col("n") < window).select("n").distinct().collect())  # window - 1 at most
+    known = F.when(F.col("n") == window, F.col("m")).otherwise(F.coalesce(*[F.when(F.col("n") == n, F.col(f"n{n}")) for n in lengths], F.array().cast("array<bigint>")))
+    index = cut(_hashed(rows, window, k, lengths).select(F.explode(known).alias("f")).distinct(), "winnow_index")
+
+    own = _hashed(docs.select(*_key(F.col(text)), words(F.col(text)).alias("w")), window, k, lengths)
+    hits = own.select(*_KEY, F.explode(_fingerprints(lengths)).alias("f")).join(index, "f", "left_semi")
+    hits = cut(hits.groupBy(*_KEY).agg(F.collect_set("f").alias("hits")), "winnow_hits")
+
+    # Copies are combined before the shuffle.
+    texts = docs.select(*_key(F.col(text)), F.col(text).alias("text")).groupBy(*_KEY).agg(F.first("text").alias("text")).join(hits, _KEY)
+    found = _hashed(texts.select(*_KEY, "hits", words(F.col("text")).alias("w")), window, k, lengths)
+    places = lambda c: F.filter(F.transform(c, lambda f, i: F.when(F.array_contains("hits", f), i)), lambda i: i.isNotNull())
+    around = F.flatten(F.transform(places("g"), lambda i: F.sequence(F.greatest(i - (window - k), F.lit(0)), F.least(i, F.size("w") - window))))
+    sized = lambda at, n: F.transform(at, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
+    starts = [sized(F.array_distinct(around), window), *[sized(places(f"n{n}"), n) for n in lengths]]
+    # In a text shorter than a window, no place can be extended to one.
+    starts[0] = F.when(F.size("w") >= window, starts[0]).otherwise(F.array().cast("array<struct<s:int,n:int>>"))
+    found = found.select(*_KEY, "w", F.concat(*starts).alias("at"))
+    found = found.select(*_KEY, F.explode(F.transform("at", lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["n"]).alias("e"), F.array_join(F.slice("w", x["s"] + 1, x["n"]), " ").alias("win")))).alias("x"))
+    matched = cut(found.select(*_KEY, "x.*").join(wins.select("win", "class"), "win").select(*_KEY, "s", "e", "class"), "winnow_matches")
+
+    order = Window.partitionBy(*_KEY).orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = matched.select(*_KEY, "s", "e").distinct().withColumn("new", F.coalesce(F.col("s") > reach, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order)).groupBy(*_KEY, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    spans = runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"), F.sum(F.col("e") - F.col("s")).cast("long").alias("n_hit"))
+    classes = wins.groupBy("class").agg(F.first("ids").alias("ids"))
+    ids = matched.select(*_KEY, "class").distinct().join(classes, "class").groupBy(*_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"))
+    out = cut(spans.join(ids, _KEY), "winnow_result")
+    discard(rows, wins, index, hits, matched)
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
-    """docs with n_words, n_hit, n_spans... of every row: n_words long, n_hit long, item_ids, spans, contaminated.
+    """docs with n_words long, n_hit long, item_ids, spans (in words) and contaminated, for every row.
 
     A null or empty text has no words, hence no hit. An item without words has no
-    window. Equal texts get equal results; equal items count once by their id; an item
-    with a null id hits words but is not listed. An empty table on either side gives no
-    hit. Columns of docs with the names of the new ones are replaced; others stay.
+    window. Repeated rows and equal texts get equal results; equal items count once by
+    their id; an item with a null id hits words but is not listed. A very long text is one
+    row, whole. An empty table on either side gives no hit. Columns of docs with the names
+    of the new ones are replaced; others stay.
     """
     new = ["n_words", "n_hit", "item_ids", "spans", "contaminated"]
-    found = cut(contaminated_spans(docs.select(text), items.select(item_id, item_text), text, item_id, item_text, window, k), "winnow_result")
-    rows = docs.drop(*[c for c in new if c != text]).withColumn("n_words", F.size(words(F.col(text))).cast("long"))
+    found = contaminated_spans(docs.select(text), items.select(item_id, item_text), text, item_id, item_text, window, k)
+    rows = docs.drop(*[c for c in new if c != text]).withColumn("n_words", F.coalesce(F.regexp_count(text, F.lit(_ANY_CASE)), F.lit(0)).cast("long"))
     k1, k2 = _key(F.col(text))
     rows = rows.withColumn("__k1", k1).withColumn("__k2", k2).join(found, _KEY, "left").drop(*_KEY)
     none = F.array().cast("array<string>")

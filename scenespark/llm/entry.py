@@ -103,8 +103,8 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-# Aliases are left out of the SQL for op3: no page of these tables has a canonical or refresh link,
-# and tests/llm holds what they do against a brute-force version.
+# Aliases are left out of the SQL for op3: no page of these tables has a canonical or refresh link.
+# tests/llm holds what links do against a union-find over random links and rules.
 _RULES = """(VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
         ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS r(h, p, v)"""
 

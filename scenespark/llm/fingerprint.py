@@ -1,9 +1,13 @@
 """Document fingerprints: threshold-scaled sketches of shingle hashes.
 
-Every hash of a word shingle below a fixed share of the hash range is kept, in any
-document, so that sketches of texts of any sizes compare and merge by set operations
-alone: a union of sketches is the sketch of the union. A text keeps its least hash as
-well, so that a short one is not left without any; that, too, is closed under union.
+Every hash of a shingle below a fixed share of the hash range is kept, in any document,
+so that sketches of texts of any sizes compare and merge by set operations alone: the
+union of two sketches is the sketch of the union. Shingles are 16 bytes of a text whose
+white space is folded, and one hash in 16 is kept, so that a text of a line has a few
+hashes below the threshold and each of them is in the sketch of any text that holds the
+line. A text that has shingles but none below the threshold is marked by its least hash,
+which tells it from other texts and takes no part in any comparison but with its equals.
+A text shorter than a shingle is one shingle, which only its equals have.
 A fingerprint is the sorted hashes in hexadecimal, ten digits each.
 """
 
@@ -17,25 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quantile_bounds, range_index, ranges_for
+from .common import id_keys, range_bounds, range_code
 
-
-SHINGLE, SHARE_BITS = 5, 3  # words; one hash in 2^3 is kept
+SHINGLE, SHARE_BITS = 16, 4  # bytes; one hash in 2^4 is kept
 _DROP = 24  # low bits of a 64-bit hash that a fingerprint leaves out
 _U = np.uint64
+#: Hashes below this are kept. Of ten hexadecimal digits the first is 0.
+THRESHOLD = _U(1 << (64 - _DROP - SHARE_BITS))
+CHUNK = 1 << 20  # bytes of text that are hashed at a time
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, _U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.array([int.from_bytes(hashlib.sha256(bytes([i, 1])).digest()[:8], "little") | 1 for i in range(256)], np.uint64)
-_STEPS = np.array([pow(_BASE, 101 * i + 7, 1 << 64) for i in range(64)], np.uint64)
-_POW: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        size = max(n, 1 << 20)
-        _POW[:] = [np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POW[0], _POW[1]
+_POW = [np.cumprod(np.concatenate(([_U(1)], np.full(CHUNK + 64, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -44,36 +42,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _word_hashes(raw: bytes) -> np.ndarray:
-    """The hash of each word (runs of bytes other than ASCII white space), some MB at a time."""
-    out, i = [], 0
-    while i < len(raw):
-        j = len(raw)
-        if j - i > 1 << 20:  # up to the next white space, so that no word is cut
-            j = min((p for p in (raw.find(c, i + (1 << 20)) for c in (b" ", b"\n", b"\t", b"\r")) if p >= 0), default=len(raw))
-        data = np.frombuffer(raw, np.uint8, j - i, i)
-        gap = np.concatenate(([True], _SPACE[data], [True]))
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        s, e = edge[::2], edge[1::2]
-        power, inverse = _powers(len(data) + 1)
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=prefix[1:])
-        out.append(_mixed((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(np.uint64)))
-        i = j
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def sketch(text: str | None, shingle: int = SHINGLE, share_bits: int = SHARE_BITS) -> np.ndarray:
-    """Sorted 40-bit hashes. A text of fewer words than a shingle has one shingle, all its words; without words it has none."""
-    words = _word_hashes((text or "").encode("utf-8", "surrogatepass"))
-    if not len(words):
-        return words
-    n = min(shingle, len(words))
-    total = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        total += words[i : len(words) - n + 1 + i] * _STEPS[i]
-    h = _mixed(total) >> _U(_DROP)
-    return np.unique(np.concatenate((h[h < _U(1 << (64 - _DROP - share_bits))], [h.min()])))
+def _folded(text: str | None) -> np.ndarray:
+    """The UTF-8 bytes, each run of white space one space, none at the ends."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    gap = _SPACE[data]
+    data = np.where(gap, np.uint8(32), data)[~(gap & np.concatenate(([True], gap[:-1])))]
+    return data[:-1] if len(data) and data[-1] == 32 else data
+
+
+def sketch(text: str | None) -> np.ndarray:
+    """Sorted 40-bit hashes below the threshold; of a text that has none, its least hash; of one without words, nothing."""
+    data = _folded(text)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    k, kept, least = min(SHINGLE, len(data)), [], []
+    for i in range(0, len(data) - k + 1, CHUNK):
+        part = data[i : i + CHUNK + k - 1]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * _POW[0][: len(part)], out=prefix[1:])
+        h = _mixed((prefix[k:] - prefix[:-k]) * _POW[1][: len(part) - k + 1] + _U(k)) >> _U(_DROP)
+        kept.append(h[h < THRESHOLD])
+        least.append(h.min())
+    kept = np.unique(np.concatenate(kept))
+    return kept if len(kept) else np.array([min(least)], np.uint64)
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of what two texts have together."""
+    both = np.union1d(a, b)
+    kept = both[both < THRESHOLD]
+    return kept if len(kept) else both[:1]
 
 
 def encode(s: np.ndarray) -> str:
@@ -83,9 +81,12 @@ def encode(s: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated containment of the smaller text's shingles in the larger's: shared hashes to those of the smaller sketch. Two empty sketches are alike."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
+    """Estimated containment of the smaller text's shingles in the larger's: shared hashes to those of the smaller sketch.
+
+    Where one of the two has no hash below the threshold: 1 for equal sketches, else 0.
+    """
+    if not len(a) or not len(b) or a[0] >= THRESHOLD or b[0] >= THRESHOLD:
+        return float(np.array_equal(a, b))
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
 
 
@@ -102,8 +103,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
 
 
 def containment(a: str, b: str) -> Column:
-    """Of two fingerprint columns: the share of a's hashes that b holds (null for an empty a), in Spark's own functions."""
-    parts = lambda c: F.filter(F.split(c, "(?<=\\G.{10})"), lambda x: x != "")
+    """Of two fingerprint columns: the share of a's hashes below the threshold that b holds (null where a has none), in Spark's own functions."""
+    parts = lambda c: F.filter(F.split(c, "(?<=\\G.{10})"), lambda x: x.startswith("0"))
     return F.size(F.array_intersect(parts(a), parts(b))) / F.nullif(F.size(parts(a)), F.lit(0))
 
 
@@ -117,63 +118,56 @@ _OUT = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_e
 _OUT_SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """For each document: its fingerprint, that of its text edited with the next document's, and their likeness.
 
     Next is the following document by falling id (nulls last, equal ids by rising text
-    hash), and for the last the first. Ids are dealt into ranges whose bounds are
-    quantiles of the ids, so texts are shuffled once; the first document of each range is
-    dealt to the range before it as well. Each task reads its range in order and holds
-    two texts at a time. A null text is empty. A single document is its own next.
+    hash), and for the last the first. Ids are integers, or of a type that is ordered by
+    its text. Texts are shuffled once, in ranges of (id, hash) that are read upwards: a
+    document's next is the one read before it. A range's greatest document is dealt to the
+    range above it as well, so no task waits for another; each holds two texts at a time,
+    however long. A null text is empty. A single document is its own next. Repeated rows
+    follow one another. Other columns of docs are not read; an empty table gives an empty table.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = buckets or ranges_for(rows, "text")
-    bounds = quantile_bounds(rows, "id", n)
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    # Range 0 has the largest ids; nulls are in the last.
-    rows = rows.withColumn("range", F.coalesce(len(bounds) - range_index(F.col("id"), bounds), F.lit(len(bounds))))
-    # Each range's first document: one row a range. The sort key puts large ids first and nulls last.
-    key = F.struct(F.col("id").isNull().cast("int").alias("null"), (-F.col("id")).alias("neg"), F.col("tie").alias("tie"))
-    heads = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.min(key).alias("first")).collect())
-    at = {r: (heads[i - 1][0] if i else heads[-1][0]) for i, (r, _) in enumerate(heads)}
-    if heads:
-        first = spark.createDataFrame([(r, k["null"], k["neg"], k["tie"], at[r], i == 0) for i, (r, k) in enumerate(heads)], "range int, h_null int, h_neg long, h_tie long, before int, wraps boolean")
-        is_head = (F.col("range") == F.col("h_range")) & F.col("id").eqNullSafe(-F.col("h_neg")) & (F.col("tie") == F.col("h_tie"))
-        rows = rows.join(F.broadcast(first.withColumnRenamed("range", "h_range")), is_head, "left")  # as many rows as ranges
-    else:
-        rows = rows.withColumns({"before": F.lit(0), "wraps": F.lit(False)})
-    # tail: a copy that closes the range before; the very first document closes the last range.
-    own, tail = F.struct(F.col("range").alias("r"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("r"), F.lit(1).alias("tail"))
-    dealt = rows.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, tail))))
-    dealt = dealt.select(F.col("to.r").alias("r"), F.col("to.tail").alias("tail"), "id", "tie", "text")
-    dealt = dealt.repartition(max(n, 1), "r").sortWithinPartitions("r", "tail", F.col("id").desc_nulls_last(), "tie")
+    null, key = id_keys(rows, "id", nulls_last=False)
+    rows = rows.withColumns({"k0": null, "k1": key, "k2": F.negative(F.xxhash64("text"))})
+    keys = ["k0", "k1", "k2"]
+    bounds = range_bounds(rows, keys, F.octet_length("text"), ranges)
+    n = max(1, len(bounds))
+    # Twice the range, odd for a range's greatest key: such a row leads the next range, and the last one leads the first.
+    rows = rows.withColumn("code", range_code(bounds, *keys) if bounds else F.lit(0))
+    own = F.struct(F.shiftright("code", 1).alias("r"), F.lit(False).alias("lead"))
+    lead = F.struct(((F.shiftright("code", 1) + 1) % n).cast("int").alias("r"), F.lit(True).alias("lead"))
+    dealt = rows.withColumn("to", F.explode(F.when(F.col("code") % 2 == 1, F.array(own, lead)).otherwise(F.array(own))))
+    dealt = dealt.select("to.r", "to.lead", *keys, "id", "text").repartitionById(n, "r").sortWithinPartitions(F.desc("lead"), *keys)
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(own: tuple, after: tuple) -> tuple:
-            edited = edited_text(own[1], after[1])
-            s = sketch(edited)
-            return own[0], len(own[1]), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encode(own[2]), encode(s), likeness(own[2], s), likeness(own[2], after[2])
-
-        held, closed, now, out, size = None, False, None, [], 0
+        before = None
         for b in batches:
-            ids_ = b.column("id").to_pylist()
-            for i, (r, tail) in enumerate(zip(b.column("r").to_pylist(), b.column("tail").to_pylist())):
-                if r != now:
-                    held, closed, now = None, False, r
-                if closed:
-                    continue  # equal ids and texts as the range's close
-                value = b.column("text")[i].as_py()
-                this = (ids_[i], value, sketch(value))
-                if held is not None:
-                    out.append(done(held, this))
-                    size += len(out[-1][3]) + len(out[-1][4])
-                held, closed = this, bool(tail)
-                if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["id", *_OUT])
-                    out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["id", *_OUT])
-
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    return dealt.mapInArrow(run, f"id long, {_OUT_SCHEMA}").withColumnRenamed("id", id_col)
+            at, out, size = [], [], 0
+            leads = b.column("lead").to_pylist()
+            for i, value in enumerate(b.column("text")):
+                if leads[i] and before is not None:
+                    continue  # equal ids and texts as the first lead
+                this = value.as_py()
+                s = sketch(this)
+                if not leads[i]:
+                    edited = edited_text(this, before[0])
+                    e = sketch(edited)
+                    at.append(i)
+                    out.append((len(this), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encode(s), encode(e), likeness(s, e), likeness(s, before[1])))
+                    size += len(out[-1][2]) + len(out[-1][3])
+                before = (this, s)
+                if out and (size > 1 << 20 or i + 1 == len(b)):
+                    yield made(b.column("id").take(pa.array(at)), out)
+                    at, out, size = [], [], 0
+            if out:
+                yield made(b.column("id").take(pa.array(at)), out)
+
+    def made(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*out), types))], names=["id", *_OUT])
+
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    return dealt.select("lead", "id", "text").mapInArrow(run, f"id {kind}, {_OUT_SCHEMA}").withColumnRenamed("id", id_col)

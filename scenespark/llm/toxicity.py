@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import below_share, cut, text_key
 
 # Letters that look alike, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -123,13 +123,13 @@ def _chosen(rows: list, nt: int, no: int, max_terms: int, least_gain: float, lea
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps with a ridge on all but the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton steps over weighted rows with a ridge on all but the constant."""
     x = np.column_stack((np.ones(len(x)), x))
     w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (p - y)) + penalty @ w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -137,19 +137,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_terms: int = 300, least_gain: float = 20.0, least_weight: float = 2.0, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """A model from labelled rows. max_rows bounds the sample of labelled rows, taken by the least hashes of their ids.
-
-    An id with several labels is toxic if any says so; rows with a null id or label are
-    left out; equal texts count once. Without toxic or other rows the seeds are the
-    lexicon and the coefficients are fixed ones.
+    """A model from labelled rows.
+
+    max_rows bounds the sample of labelled rows that it learns from, but for the chance in
+    a hash: half of it toxic rows and half others, or all rows of a label that has fewer,
+    those with the least hashes of their ids. Terms are weighed by their share of either
+    label's rows, and rows count in the coefficients by their label's share of all labels,
+    so rare labels are learned from and scores keep to the true rates. An id with several
+    labels is toxic if any says so; rows with a null id or label are left out; equal texts
+    count once, whole texts are read. Without toxic or other rows, and for empty tables,
+    the seeds are the lexicon and the coefficients are fixed ones. Ties between terms go
+    to the longer one, then by code point, so a second run learns the same model.
     """
     spark = docs.sparkSession
-    marks = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias("toxic"))
-    total = marks.count()
-    # Hashes below a share of their range that keeps max_rows rows or fewer, but for chance.
-    share = min(1.0, max_rows / max(total, 1))
-    picked = marks.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.select(id_col, F.col(text).alias("text")).join(picked, id_col).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    marks = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg((F.max(label) > 0).cast("int").alias("toxic"))
+    marks = cut(marks, "toxicity_marks")
+    sizes = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
+    picked = F.lit(False)
+    for y, n in sizes.items():
+        room = max(max_rows // 2, max_rows - sizes.get(1 - y, 0))
+        picked = picked | ((F.col("toxic") == y) & below_share(F.xxhash64(F.col(id_col).cast("string")), room / n))
+    k1, k2 = text_key(F.col("text"))
+    sample = docs.select(id_col, F.col(text).alias("text")).join(marks.where(picked), id_col).groupBy(k1, k2).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = cut(sample.select("text", "toxic"), "toxicity_sample")
     counts = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     nt, no = counts.get(1, 0), counts.get(0, 0)
@@ -174,15 +183,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     rows = np.array(sample.mapInArrow(measured, "a double, b double, c double, toxic int").collect(), float)
     rows = rows[np.lexsort(rows.T)]  # sums in one order, whichever task ends first
-    return Model(lexicon, tuple(float(v) for v in _logistic(rows[:, :3], rows[:, 3])), exceptions)
+    y = rows[:, 3]
+    weight = np.where(y == 1, sizes[1] / nt, sizes[0] / no)
+    return Model(lexicon, tuple(float(v) for v in _logistic(rows[:, :3], y, weight * len(y) / weight.sum())), exceptions)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """docs (all columns, or those to keep) with score double (0 to 1) and predicted int.
 
     A null, empty or wordless text has the score of a text without terms. The score
-    depends on the text alone, so equal texts have equal scores. Columns of docs named
-    score or predicted are replaced.
+    depends on the whole text alone, so repeated rows have equal scores and ties stay ties;
+    a very long text is one pass over it. An empty table gives an empty table. Columns of
+    docs named score or predicted are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema

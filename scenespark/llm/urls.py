@@ -16,10 +16,11 @@ from .common import LOWER, UPPER, cut
 from .components import components
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-_LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_META = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'>]+)"""
+# An attribute's name stands by itself: data-href is none of these.
+_LINK = r"""(?is)<link\b[^>]*(?<![\w-])rel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"""
+_META = r"""(?is)<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*["']?refresh\b[^>]*>"""
+_HREF = r"""(?is)(?<![\w-])href\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH = r"""(?is)(?<![\w-])content\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'>]+)"""
 
 #: (host, path beginning, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -78,13 +79,17 @@ def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame | list | None = None, url: str = "url", html: str | None = "html", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | list | None = None, url: str = "url", html: str | None = "html", default: str = "allow", links: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule and verdict.
 
-    A null url or one without :// has an empty host and path and meets no rule, and is
-    nobody's alias. Repeated rows get equal results. html None: no links are followed.
-    Without rules every verdict is the default. Columns of pages with the names of the
-    new ones are replaced.
+    links: (source, target) urls of redirects that are known from elsewhere, such as a
+    crawl's log; they count like the pages' own refresh and canonical links, and ends that
+    are no page carry decisions on. html None: the pages' own links are not followed. A
+    null url or one without :// has an empty host and path and meets no rule, and is
+    nobody's alias. Repeated rows get equal results; of rules of equal length allow goes
+    before block. Without rules every verdict is the default. Very long pages are read
+    whole. An empty table gives an empty table. Columns of pages with the names of the new
+    ones are replaced; others stay.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -93,11 +98,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list | None = None, url: st
     u = F.col(url)
     rows = pages.drop(*[c for c in new if c not in (url, html)]).withColumn("host", host(u)).withColumn("path", path(u))
     ruled = match_rules(rows, rules)
-    if html is None:
+    edges = None if html is None else alias_links(pages, url, html)
+    if links is not None:
+        given = links.select(F.col("source").alias("url"), "target").where(_key(F.col("source")) != _key(F.col("target")))
+        edges = given if edges is None else edges.unionByName(given)
+    if edges is None:
         return rows.join(ruled, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    links = cut(alias_links(pages, url, html).select("target", _key(F.col("url")).alias("a"), _key(F.col("target")).alias("b"), "url").distinct(), "url_links")
-    comp = cut(components(links, "a", "b"), "url_components")
-    ends = links.select(F.col("a").alias("node"), F.col("url").alias("u")).unionByName(links.select(F.col("b").alias("node"), F.col("target").alias("u")))
+    edges = cut(edges.select("target", _key(F.col("url")).alias("a"), _key(F.col("target")).alias("b"), "url").distinct(), "url_links")
+    comp = cut(components(edges, "a", "b"), "url_components")
+    ends = edges.select(F.col("a").alias("node"), F.col("url").alias("u")).unionByName(edges.select(F.col("b").alias("node"), F.col("target").alias("u")))
     ends = ends.select("node", host(F.col("u")).alias("host"), path(F.col("u")).alias("path")).distinct()
     said = ends.join(match_rules(ends, rules), ["host", "path"]).join(comp, "node")
     said = said.groupBy("component").agg(F.when(F.bool_or(F.col("verdict") == "allow"), "allow").otherwise("block").alias("spread"))

@@ -1,12 +1,12 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are dealt into ranges of their key, whose bounds are quantiles, and each range
-is written in order by one task at a time, one gzip member a record. A file is closed
+Records are dealt into ranges of their key (id and payload digest) of about equal bytes,
+and each range is written in order by one task at a time, one gzip member a record. A file is closed
 when its compressed size passes `roll_bytes`. Headers, ids and digests are regenerated
 from the record alone, so a second run writes the same bytes. Each attempt of a task
 writes under a name of its own; the manifest, a table that Spark commits, names the
-attempts that count, and only those files are renamed to their final names. Payloads
-that repeat become revisit records without payload.
+attempts that count, and only those files are renamed to their final names; what lost
+attempts left is swept away after that. Payloads that repeat become revisit records without payload.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, quantile_bounds, range_index, ranges_for
+from .common import cut, id_keys, new_path, range_bounds, range_code
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -161,11 +161,12 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     is empty; a null id comes last and is no least id unless there is no other; of rows
     with equal id and payload one is the response. A null url gets a urn. An empty table
     gives an empty manifest. Payloads are shuffled once: what is known of a repeated one
-    travels beside it, under the same key.
+    travels beside it, under the same key. Rows of one id, or without one, lie in several
+    ranges where they are many. A payload is held whole by the task that writes it; other
+    columns of pages are not read.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.cast("binary").alias("html"))
-    n = ranges or ranges_for(rows, "html")
     rows = rows.withColumn("digest", F.sha2("html", 256))
     ids = rows.select("page_id", "digest", "url", F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least_bytes)
     # The least id and url of each payload: partial aggregates, so a payload of very many pages is combined first.
@@ -176,17 +177,29 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     links = links.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", "refers_url", none("string", "url"), none("binary", "html"))
     both = links.unionByName(rows.select("page_id", F.lit(1).alias("kind"), "digest", none("long", "refers_to"), none("string", "refers_url"), "url", "html"))
-    bounds = quantile_bounds(rows, "page_id", n)
-    both = both.withColumn("range", F.coalesce(range_index(F.col("page_id"), bounds), F.lit(len(bounds))))
-    both = both.repartition(n, "range").sortWithinPartitions("range", F.col("page_id").asc_nulls_last(), "kind", "digest", F.col("url").asc_nulls_last())
+    null, key = id_keys(rows, "page_id")
+    keyed = lambda df: df.withColumns({"k0": null, "k1": key})
+    keys = ["k0", "k1", "digest"]
+    bounds = range_bounds(keyed(rows), keys, F.octet_length("html"), ranges)
+    both = keyed(both).withColumn("range", F.shiftright(range_code(bounds, *keys), 1) if bounds else F.lit(0))
+    both = both.repartitionById(max(1, len(bounds)), "range").sortWithinPartitions("range", F.col("page_id").asc_nulls_last(), "kind", "digest", F.col("url").asc_nulls_last())
     # Spark's own commit decides which attempts are in this table; their files, and no others, get final names.
     manifest = both.mapInArrow(_writer(folder, roll_bytes, level), _MANIFEST)
     manifest.write.parquet(f"{folder}/_manifest")
     manifest = pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
     manifest.mapInArrow(_committer(folder), _MANIFEST).count()
+    sweep(pages.sparkSession, folder)
     return manifest
 
 
+def sweep(spark: SparkSession, folder: str) -> int:
+    """Delete what attempts without a place in the manifest have left; how many files those were. Committed files have their final names by then."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_temporary-*")
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = fs.globStatus(pattern) or []
+    return sum(fs.delete(f.getPath(), False) for f in left)
+
+
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
