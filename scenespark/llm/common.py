@@ -38,8 +38,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Scratch tables of this process, by application id.
+#: Scratch tables of this process, by application id, and the catalogue's names of those that have one, by path.
 _SCRATCH: dict[str, list[str]] = {}
+_NAMES: dict[str, str] = {}
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -49,6 +50,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path in _NAMES:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop(path)}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -82,11 +85,12 @@ def release(spark: SparkSession) -> None:
 
 
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Like cut(), in as many buckets as there are shuffle partitions, so that joins on keys leave these rows in place."""
+    """Like cut(), in as many buckets as there are shuffle partitions, so that joins on keys leave these rows in place. Its name leaves the catalogue with its files."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, *keys).option("path", _scratch(spark, name)).option("compression", "zstd").saveAsTable(table)
+    path, table = _scratch(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(table)
+    _NAMES[path] = table
     return spark.table(table)
 
 

@@ -7,17 +7,21 @@ in one place is out of question, so suffixes are dealt out first:
   1. Anchors. In each `length`-byte window the k-gram with the least hash is its anchor;
      equal windows have equal anchors at equal distance. Windows that follow one another
      mostly share theirs, so there is one row for every 150 bytes or so: the anchor's
-     hash and the hash of the stretch that its windows cover.
-  2. Anchors that occur once are done: none of their windows starts twice. Stretches that
-     occur twice or more, byte for byte by two independent hashes of different kind, are
-     done too: all their windows do. So copies of any number are one row from there on.
-  3. One specimen of each other stretch whose anchor is shared is read and dealt by the
-     anchor's hash. In each task the windows are sorted by a mergesort; two suffixes are
-     compared through prefix polynomial hashes, by a binary search for their common
-     extension. Neighbours that share `length` bytes are compared byte by byte before
-     they count. Anchors with very many different stretches (a line that a third of all
-     documents have) are dealt by the hash of a longer core of fewer windows instead, so
-     that no task gets them whole.
+     hash and the hash of the stretch that its windows cover. Stretches that a text
+     repeats within itself (a run of one byte, a refrain) are one row of that text.
+  2. Anchors that occur once are done: none of their windows starts twice. Of stretches
+     that occur twice or more all windows do; two of each are compared byte by byte.
+     Copies of any number are one specimen from there on.
+  3. One specimen of each stretch whose anchor others share is read and dealt by the
+     anchor's hash and the window's distance from it. There the windows are sorted by a
+     mergesort; two suffixes are compared through prefix polynomial hashes, by a binary
+     search for their common extension. Neighbours in that order that share `length`
+     bytes by their hashes are compared byte by byte before they count.
+  4. Anchors with very many different stretches (a line that a third of all documents
+     have) are dealt by the hash of a longer core of fewer windows instead. Where even
+     such a core is crowded, its windows are counted by two hashes of their bytes, which
+     combines before the shuffle, and two places of each that counts are compared byte
+     by byte. So no task gets a line, a passage or a core whole.
 """
 
 from __future__ import annotations
@@ -67,10 +71,10 @@ def _prefix(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
-    """Of texts laid end to end (offsets: their starts and the end): each anchor's first and last window start, its own place and its hashes."""
+    """Of texts laid end to end (offsets: their starts and the end): each anchor's first and last window start, its own place, its hashes and how often it stands so in its text; and own_…, what texts repeat within themselves."""
     n, w = len(data), length - k + 1
     starts, ends = offsets[:-1], offsets[1:]
-    none = {c: np.zeros(0, np.int64) for c in ("text", "first", "last", "place", "anchor", "span", "check")}
+    none = {c: np.zeros(0, np.int64) for c in ("text", "first", "last", "place", "anchor", "span", "check", "times", "own_text", "own_first", "own_end")}
     if n < length or not ((ends - starts) >= length).any():
         return none
     prefix = _prefix(data)
@@ -100,12 +104,33 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> dict[
     text = np.searchsorted(offsets, first, side="right") - 1
     anchor = grams[p]
     span = _mixed((prefix[last + length] - prefix[first]) * inverse[first] + (p - first).astype(np.uint64) * _MIX)
-    raw = data.tobytes()
+    raw, base = data.tobytes(), starts[text]
+    times, again = _settled(raw, first, last, text, anchor, span, length)
+    keep = np.flatnonzero(times)
     h = xxhash.xxh3_64_intdigest
-    check = np.array([h(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], np.uint64)
-    base = starts[text]
-    out = {"text": text, "first": first - base, "last": last - base, "place": p - base, "anchor": anchor, "span": span, "check": check}
-    return {c: v.view(np.int64) for c, v in out.items()}
+    check = np.array([h(raw[a:b]) for a, b in zip(first[keep].tolist(), (last[keep] + length).tolist())], np.uint64)
+    out = {"text": text, "first": first - base, "last": last - base, "place": p - base, "anchor": anchor, "span": span, "times": times}
+    out = {c: v[keep].view(np.int64) for c, v in out.items()} | {"check": check.view(np.int64)}
+    # What a text repeats within itself goes, whatever other texts hold: overlapping places are one.
+    at = np.flatnonzero(again)
+    new = np.flatnonzero(np.concatenate(([True], (text[at[1:]] != text[at[:-1]]) | (first[at[1:]] > np.maximum.accumulate(last[at] + length)[:-1])))) if len(at) else at
+    end = (last[at] + length)[np.concatenate((new[1:], [len(at)])) - 1] if len(at) else at
+    return out | {"own_text": text[at[new]], "own_first": (first - base)[at[new]], "own_end": end - base[at[new]]}
+
+
+def _settled(raw: bytes, first: np.ndarray, last: np.ndarray, text: np.ndarray, anchor: np.ndarray, span: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches: how often each occurs in its text, 0 for all but its first place; and the places of those that repeat. Bytes decide, not hashes."""
+    by = np.lexsort((first, span, anchor, text))
+    same = np.concatenate(([False], (text[by[1:]] == text[by[:-1]]) & (anchor[by[1:]] == anchor[by[:-1]]) & (span[by[1:]] == span[by[:-1]])))
+    times, again = np.ones(len(first), np.int64), np.zeros(len(first), bool)
+    head = by[np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))]
+    for i in np.flatnonzero(same).tolist():
+        me, other = by[i], head[i]
+        if raw[first[me] : last[me] + length] == raw[first[other] : last[other] + length]:
+            times[other] += 1
+            times[me] = 0
+            again[me] = again[other] = True
+    return times, again
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +141,21 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), o
 
 
+_ANCHOR_SCHEMA = "k1 long, k2 long, first int, last int, place int, anchor long, span long, check long, times int"
+
+
 def _anchor_rows(length: int, k: int):
-    names = ["k1", "k2", "first", "last", "place", "anchor", "span", "check"]
+    """Rows of _ANCHOR_SCHEMA; one without an anchor is a span [first, last) that its text repeats within itself."""
+    names = ["k1", "k2", "first", "last", "place", "anchor", "span", "check", "times"]
 
     def made(b: pa.RecordBatch, rows: np.ndarray, found: dict, shift: int = 0) -> pa.RecordBatch:
-        take = pa.array(rows[found["text"]])
-        near = {c: pa.array((found[c] + shift).astype(np.int32)) for c in ("first", "last", "place")}
-        return pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), *near.values(), *(pa.array(found[c]) for c in names[5:])], names=names)
+        own = len(found["own_text"])
+        take = pa.array(np.concatenate((rows[found["text"]], rows[found["own_text"]])))
+        near = {c: np.concatenate((found[c], found[o])) + shift for c, o in (("first", "own_first"), ("last", "own_end"), ("place", "own_first"))}
+        far = [pa.concat_arrays([pa.array(found[c]), pa.nulls(own, pa.int64())]) for c in ("anchor", "span", "check")]
+        times = np.concatenate((found["times"], np.zeros(own, np.int64)))
+        ints = [pa.array(v.astype(np.int32)) for v in (*near.values(), times)]
+        return pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), *ints[:3], *far, ints[3]], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,28 +227,23 @@ def sorted_suffixes(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, group:
 
 
 def repeated_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Of windows (in groups, ascending): whether another of the group has the same `length` bytes."""
+    """Of windows (in groups, ascending): whether another of the group has the same `length` bytes. Neighbours in suffix order decide, and their bytes."""
     out = np.zeros(len(start), bool)
     if len(start) < 2:
         return out
     prefix = _prefix(data, at)
     _, inverse = _powers(int(at.max(initial=0)) + 1)
-    # A window whose hash is alone in its group shares its bytes with none: it needs no place in the order.
-    whole = (prefix[start + length] - prefix[start]) * inverse[at[start]]
-    by = np.lexsort((whole, group))
-    same = (group[by[1:]] == group[by[:-1]]) & (whole[by[1:]] == whole[by[:-1]])
-    live = np.sort(by[np.concatenate((same, [False])) | np.concatenate(([False], same))])
-    g, s = group[live], start[live]
-    order = sorted_suffixes(data, prefix, at, g, s, length)
+    order = sorted_suffixes(data, prefix, at, group, start, length)
     a, b = order[:-1], order[1:]
-    pairs = np.flatnonzero((g[a] == g[b]) & (_common(prefix, inverse, at, s[a], s[b], length) == length)) if len(order) > 1 else np.zeros(0, np.int64)
+    near = np.flatnonzero(group[a] == group[b])
+    pairs = near[_common(prefix, inverse, at, start[a[near]], start[b[near]], length) == length]
     view = np.lib.stride_tricks.sliding_window_view(data, length)
     wrong = []
     for i in range(0, len(pairs), 4096):
         x, y = a[pairs[i : i + 4096]], b[pairs[i : i + 4096]]
-        equal = (view[s[x]] == view[s[y]]).all(axis=1)
-        out[live[x[equal]]] = out[live[y[equal]]] = True
-        wrong += g[x[~equal]].tolist()
+        equal = (view[start[x]] == view[start[y]]).all(axis=1)
+        out[x[equal]] = out[y[equal]] = True
+        wrong += group[x[~equal]].tolist()
     for bad in set(wrong):  # a collision of hashes: that group again, by its bytes alone
         rows, seen = np.flatnonzero(group == bad), {}
         for i in rows.tolist():
@@ -247,8 +275,11 @@ def _batches(rows: Iterator[tuple], types: list, names: list[str], size: int = 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
+DEAL, CROWDED, COMPARE = 0, 1, 2
+
+
 def _specimens(length: int, block: int):
-    """Of texts with the stretches asked of them: those stretches, dealt by anchor or, if that is crowded, by the core of each `block` windows."""
+    """Of texts with the stretches asked of them: those stretches, dealt by anchor or, if that is crowded, by the core of each `block` windows. One to be compared has no windows of its own."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         h = xxhash.xxh3_64_intdigest
@@ -258,8 +289,8 @@ def _specimens(length: int, block: int):
                 raw = text.as_buffer().to_pybytes()
                 for x in asked[i].as_py():
                     first, last, place = x["first"], x["last"], x["place"]
-                    if not x["crowded"]:
-                        yield x["anchor"], k1s[i], k2s[i], first, place - first, last - first + 1, raw[first : last + length]
+                    if x["kind"] != CROWDED:
+                        yield x["key"], k1s[i], k2s[i], first, place - first, last - first + 1 if x["kind"] == DEAL else 0, raw[first : last + length]
                         continue
                     # Blocks lie at fixed distances from the anchor: equal windows fall in equal blocks, and hold the block's core.
                     for lo in range((place - last) // block * block, place - first + 1, block):
@@ -271,8 +302,38 @@ def _specimens(length: int, block: int):
     return lambda batches: _batches(rows(batches), _SPECIMEN_TYPES, _SPECIMEN)
 
 
+_WINDOW_SCHEMA = "h1 long, h2 long, k1 long, k2 long, s int"
+
+
+def _windows(length: int):
+    """Each window of crowded specimens by two hashes of its bytes."""
+    names = ["h1", "h2", "k1", "k2", "s"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1, k2, first, windows = (b.column(c).to_pylist() for c in ("k1", "k2", "first", "windows"))
+            out: list[list[np.ndarray]] = []
+            for i, stretch in enumerate(b.column("stretch")):
+                raw, n = stretch.as_buffer().to_pybytes(), windows[i]
+                prefix = _prefix(np.frombuffer(raw, np.uint8))
+                h1 = _mixed((prefix[length : length + n] - prefix[:n]) * _powers(n)[1][:n])
+                h2 = np.array([xxhash.xxh3_64_intdigest(raw[j : j + length]) for j in range(n)], np.uint64)
+                out.append([h1.view(np.int64), h2.view(np.int64), np.full(n, k1[i]), np.full(n, k2[i]), (first[i] + np.arange(n)).astype(np.int32)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+
+    return run
+
+
 def _judge_chunk(rows: list[tuple], length: int) -> Iterator[tuple]:
-    """Specimens whose keys are complete: the stretches of their windows that start twice."""
+    """Specimens whose keys are complete: the stretches of their windows that start twice. Those to be compared must be equal."""
+    seen: dict[int, bytes] = {}
+    for r in rows:
+        if not r[5] and seen.setdefault(r[0], r[6]) != r[6]:
+            raise ValueError("different bytes share two 64-bit hashes")
+    rows = [r for r in rows if r[5]]
+    if not rows:
+        return
     sizes = np.array([len(r[6]) for r in rows])
     data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
     base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -510,24 +571,49 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int =
     k1, k2 = text_key(F.col(text))
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), t.alias("text"))
     texts = bucketed(texts.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "suffix_texts", "k1", "k2")
-    schema = "k1 long, k2 long, first int, last int, place int, anchor long, span long, check long"
-    rows = cut(texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, k), schema), "suffix_anchors")
-    one = [F.first(c).alias(c) for c in ("k1", "k2", "first", "last", "place")]
-    spans = cut(rows.groupBy("anchor", "span", "check").agg(F.count(F.lit(1)).alias("n"), *one), "suffix_spans")
+    rows = cut(texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(length, k), _ANCHOR_SCHEMA), "suffix_anchors")
+    # Of each stretch two places: where it occurs twice or more they are different ones, unless it does so in one text, where its bytes have been compared.
+    two = [f(c).alias(f"{c}{x}") for x, f in (("", F.first), ("_", F.last)) for c in ("k1", "k2", "first", "last", "place")]
+    spans = cut(rows.where("anchor IS NOT NULL").groupBy("anchor", "span", "check").agg(F.sum("times").alias("n"), *two), "suffix_spans")
     groups = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    asked = F.struct("first", "last", "place", "anchor", (F.col("kinds") > crowd).alias("crowded"))
-    asked = spans.join(groups, "anchor").groupBy("k1", "k2").agg(F.collect_list(asked).alias("asked"))
-    specimens = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(_specimens(length, block), _SPECIMEN_SCHEMA)
-    judged = specimens.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(length), "k1 long, k2 long, s int, e int")
-    same = rows.join(spans.where("n > 1").select("span", "check").distinct(), ["span", "check"]).select("k1", "k2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
-    found = judged.unionByName(same)
+    kind = F.when(F.col("kinds") > crowd, CROWDED).otherwise(DEAL)
+    dealt = spans.join(groups, "anchor").select("k1", "k2", F.struct("first", "last", "place", F.col("anchor").alias("key"), kind.alias("kind")).alias("x"))
+    judged_at = "k1 long, k2 long, s int, e int"
+
+    def read(asked: DataFrame) -> DataFrame:
+        asked = asked.groupBy("k1", "k2").agg(F.collect_list("x").alias("asked"))
+        return texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(_specimens(length, block), _SPECIMEN_SCHEMA)
+
+    def judge(specimens: DataFrame) -> DataFrame:
+        return specimens.repartition("key").sortWithinPartitions("key").mapInArrow(_judge(length), judged_at)
+
+    def both(df: DataFrame, *key: str) -> DataFrame:
+        """Two places of each row of df, to be compared byte by byte."""
+        place = lambda x: df.select(F.col(f"k1{x}").alias("k1"), F.col(f"k2{x}").alias("k2"), F.struct(*[F.col(f"{c}{x}").alias(c) for c in ("first", "last", "place")], F.xxhash64(*key).alias("key"), F.lit(COMPARE).alias("kind")).alias("x"))
+        return place("").unionByName(place("_"))
+
+    twice = spans.where("n > 1")
+    plain = dealt.where(F.col("x.kind") == DEAL).unionByName(both(twice, "span", "check"))
+    blocks = cut(read(dealt.where(F.col("x.kind") == CROWDED)), "suffix_blocks")
+    crowded = cut(blocks.groupBy("key").count().where(F.col("count") > crowd).select("key"), "suffix_crowded")
+    loose = blocks.join(crowded, "key", "left_anti").select(*_SPECIMEN)
+    windows = cut(blocks.join(crowded, "key", "left_semi").select("k1", "k2", "first", "windows", "stretch").mapInArrow(_windows(length), _WINDOW_SCHEMA), "suffix_windows")
+    ends = [f(c).alias(f"{c}{x}") for x, f in (("", F.first), ("_", F.last)) for c in ("k1", "k2", "s")]
+    often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *ends).where("n > 1")
+    often = cut(often.withColumns({f"{c}{x}": F.col(f"s{x}") for x in ("", "_") for c in ("first", "last", "place")}), "suffix_often")
+    found = judge(read(plain.unionByName(both(often, "h1", "h2"))).unionByName(loose))
+    found = found.unionByName(windows.join(often.select("h1", "h2"), ["h1", "h2"]).select("k1", "k2", "s", (F.col("s") + length).alias("e")))
+    same = rows.join(twice.select("span", "check").distinct(), ["span", "check"]).select("k1", "k2", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+    own = rows.where("anchor IS NULL").select("k1", "k2", F.col("first").alias("s"), F.col("last").alias("e"))
+    found = found.unionByName(same).unionByName(own)
+    scratch = [rows, spans, blocks, crowded, windows, often]
     if words:
         found = cut(found, "suffix_found")
-        discard(rows, spans)
+        discard(*scratch)
         found = found.unionByName(repeated_passages(texts, words))
     cutting = cut(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix_cutting")
     if not words:
-        discard(rows, spans)
+        discard(*scratch)
     done = texts.join(cutting, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans")
     return done.mapInArrow(_apply(length, with_text, words), _RESULT_SCHEMA)
 

@@ -142,6 +142,50 @@ def test_suffix_dedup(docs, rows, length, crowd):
     assert sorted(((r["text"] or ""), (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in out) == expected
 
 
+def test_suffix_periods_crowds_and_long_texts(spark, monkeypatch):
+    """Runs of one byte and refrains, a core in many surroundings, texts beyond a chunk; all as by brute force."""
+    rng = random.Random(13)
+    say = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    core = say(110)
+    texts = ["a" * 700, "ab" * 300 + "x", "xyz" * 90 + say(50) + "xyz" * 90, say(60) + "a" * 450] + [say(rng.randint(0, 80)) + core + say(rng.randint(0, 80)) for _ in range(40)]
+    texts += [say(30) + core[i:] + say(30) for i in range(0, 40, 5)] + [None, "", core, core]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(zip((t or "" for t in texts), brute_spans(texts, 100)))
+    key = lambda out: sorted((r["text"] or "", (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in out.collect())
+    assert key(suffix.dedup_substrings(docs, length=100, crowd=3)) == want  # cores are crowded, too: windows are counted
+    parts = suffix._anchor_rows(100, 16)
+    monkeypatch.setattr(suffix, "CHUNK", 250)
+    import pyarrow as pa
+
+    found = {}
+    for size in (250, 1 << 20):
+        monkeypatch.setattr(suffix, "CHUNK", size)
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([texts[2] + texts[3]])], names=["k1", "k2", "text"])
+        found[size] = {i: r["anchor"] for part in parts(iter([batch])) for r in part.to_pylist() if r["anchor"] is not None for i in range(r["first"], r["last"] + 1)}
+    assert all(found[250][i] == a for i, a in found[1 << 20].items())
+
+
+def test_suffix_anchors_of_a_run_are_few():
+    data = np.frombuffer(b"a" * 100_000, np.uint8)
+    found = suffix.anchors(data, np.array([0, len(data)]), 400, 64)
+    assert len(found["first"]) == 1 and found["times"].tolist() == [99_601] and (found["own_first"].tolist(), found["own_end"].tolist()) == ([0], [100_000])
+
+
+def test_suffix_compares_bytes():
+    row = lambda key, raw: (key, 1, 2, 0, 0, 0, raw)
+    assert list(suffix._judge_chunk([row(5, b"x" * 20), row(5, b"x" * 20)], 16)) == []
+    with pytest.raises(ValueError):
+        list(suffix._judge_chunk([row(5, b"x" * 20), row(5, b"y" * 20)], 16))
+
+
+def test_scratch_tables_leave_the_catalogue(spark):
+    common.release(spark)
+    df = common.bucketed(spark.range(10), "gone", "id")
+    assert df.count() == 10 and any(t.name.startswith("gone_") for t in spark.catalog.listTables())
+    common.release(spark)
+    assert not any(t.name.startswith("gone_") for t in spark.catalog.listTables())
+
+
 def test_suffix_kept_text_is_utf8(spark):
     body = "é" * 150
     docs = spark.createDataFrame([(1, "a" + body + "b"), (2, "xy" + body + "cc"), (3, None)], "doc_id long, text string")
