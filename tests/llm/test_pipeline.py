@@ -63,7 +63,7 @@ def test_run_and_registration(spark, sf_dir):
 
 
 def test_missing_subpackage_leaves_the_rest(tmp_path):
-    """A copy without the llm folders and the pipeline still has its other queries."""
+    """A copy without the llm folders still has its other queries, with corpus_pipeline.py left in it or not."""
     import shutil
     import subprocess
     import sys
@@ -72,8 +72,40 @@ def test_missing_subpackage_leaves_the_rest(tmp_path):
     root = Path(P.__file__).resolve().parent
     shutil.copytree(root / "scenespark", tmp_path / "scenespark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copy(root / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'paired_rows' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, ties, and columns of any name and type."""
+    text = " ".join(f"word{i}" for i in range(80))
+    kinds = "doc_id long, text string, source string, score string, predicted int, spans map<string,int>, n_hit int, kept string, removed string, contaminated boolean, fp int, component_id int, `k1` int, n_words string, Size int"
+    row = lambda i, t, s="a": (i, t, s, "s", 1, {"a": 1}, 2, "k", "r", True, 3, 4, 5, "n", 6)
+    rows = [row(1, text), row(1, text), row(2, text + " more"), (None,) * 15, (None,) * 15, row(3, None), row(4, ""), row(5, " \n"), row(None, "some words of its own"), row(6, "what a stupid idiot stupid idiot"), row(7, "eleven words that the benchmark has as well as this text"), row(8, "plain and short")]
+    docs = spark.createDataFrame(rows, kinds)
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 0), (6, 1), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "eleven words that the benchmark has as well as this text"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    same = lambda out: sorted(map(str, (tuple(r)[2:] for r in out)))
+    for name, stage in P.STAGES:
+        none = stage(spark, docs.where("false"), d)
+        assert none.count() == 0 and (name == "mix" or none.columns == docs.columns)
+        out = stage(spark, docs, d)
+        got = out.collect()
+        if name != "mix":
+            assert out.columns == docs.columns and set(same(got)) <= set(same(map(tuple, rows)))
+        ids = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in got)
+        if name == "toxicity":
+            assert ids == [-1, -1, -1, 1, 1, 2, 3, 4, 5, 7, 8]
+        if name == "simhash_near_dedup":
+            assert ids == [-1, 1, 3, 6, 7, 8]
+        if name == "suffix_dedup":
+            assert ids == [-1, -1, -1, 2, 3, 4, 5, 6, 7, 8] and {r["doc_id"]: r["text"] for r in got}[2].strip() == "more"
+        if name == "decontaminate":
+            assert ids == [-1, -1, -1, 1, 1, 2, 3, 4, 5, 6, 8]
 
 
 def test_passages_of_51_words(spark):
