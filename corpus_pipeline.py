@@ -12,7 +12,7 @@ mix: documents that the mix takes, with size, source_size, target, copies and ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenespark.llm.common import cut, new_path, release, text_key
@@ -33,19 +33,38 @@ SIMILAR = 0.8
 
 # Each stage begins with release(): its predecessor's rows are written by then, so the
 # scratch tables that they were made from can go.
+#
+# All stages: a null text counts as empty and stays null where its row stays; an empty
+# table gives an empty table; whole texts are read, however long; columns that a stage
+# doesn't use pass through unchanged, whatever their names and types. Only doc_id and
+# text must be there, and source for the mix.
+
+
+def _guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the used ones renamed, so that none clashes with what an operator adds, and the columns that undo it."""
+    names = {c: c if c in used else f"__in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the model predicts to be toxic. Equal texts, so repeated rows too, share their fate; an empty text stays."""
     release(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = fit(docs, labels.where(~held_out()))
-    return score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, back = _guarded(docs, "doc_id", "text")
+    model = fit(rows, labels.where(~held_out()))
+    return score(rows, model).where("predicted = 0").select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of near-duplicate texts: that with the least id, nulls last.
+
+    Equal texts, empty and null ones together, are one component, so of repeated rows one
+    stays; of rows with equal id and text that whose other columns have the least hash.
+    """
     release(spark)
     k1, k2 = text_key(F.col("text"))
-    keyed = docs.withColumn("__k1", k1).withColumn("__k2", k2)
+    rows, back = _guarded(docs, "doc_id", "text")
+    keyed = rows.withColumn("__k1", k1).withColumn("__k2", k2)
     found = cut(near_duplicates(keyed, keep=["__k1", "__k2"]), "near_found")
     texts = cut(keyed.groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.coalesce(F.first("text"), F.lit("")).alias("text")), "near_texts")
     of = found.select("__k1", "__k2", "component").distinct()
@@ -56,28 +75,44 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Of a component the text with the least id, and of that text's rows the first: texts are shuffled once, copies combined before.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("b")
     kept = found.groupBy("component").agg(first).select("b.__k1", "b.__k2")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    row = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *rest)).alias("r")
-    return keyed.groupBy("__k1", "__k2").agg(row).join(kept, ["__k1", "__k2"], "left_semi").select(*[F.col("r")[c].alias(c) for c in docs.columns])
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    tie = F.xxhash64(F.col("text").isNull(), *[F.col(c).cast("string") for c in rest])
+    row = F.min_by(F.struct(*rows.columns), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", tie.alias("t"))).alias("r")
+    return keyed.groupBy("__k1", "__k2").agg(row).join(kept, ["__k1", "__k2"], "left_semi").select("r.*").select(*back)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with repeated strings and passages cut out of their texts, and n_chars, where it is there, counted again.
+
+    Every place of a repeat is cut, so of repeated rows long enough nothing is left. A
+    document of which only white space is left after a cut goes; others stay, also empty ones.
+    """
     release(spark)
-    found = dedup_substrings(docs.withColumn("__null", F.col("text").isNull()), with_text=True, words=WORDS)
-    rows = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    rows, back = _guarded(docs.withColumn("__null", F.col("text").isNull()), "text")
+    null = f"__in{len(docs.columns)}"
+    found = dedup_substrings(rows, with_text=True, words=WORDS)
+    found = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     # The kept text is the whole text where nothing was cut, so the old one needn't be carried along.
-    n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
-    new = {"text": F.when(~F.col("__null"), F.col("kept")), "n_chars": n_chars}
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    new = {"text": F.when(~F.col(null), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        old = F.col(f"__in{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(F.col("n_removed") == 0, old).otherwise(F.length("kept")).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[new[c].alias(c) if c in new else x for c, x in zip(docs.columns, back)])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a window of a benchmark item. Equal texts share their fate; a text without words stays."""
     release(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate(docs, items).where(~F.col("contaminated")).select(*docs.columns)
+    rows, back = _guarded(docs, "text")
+    return decontaminate(rows, items).where(~F.col("contaminated")).select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target, copies and taken in place of columns of those names.
+
+    A null source is a source of its own; repeated rows share their fate; a document without words isn't taken.
+    """
     release(spark)
     return mix(docs).where("copies > 0")
 
