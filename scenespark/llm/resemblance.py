@@ -64,10 +64,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each bucket's members, a few thousand at a time."""
+    names = ["a1", "a2", "b1", "b2"]
     for b in batches:
-        rows = [(x["k1"], x["k2"], y["k1"], y["k2"]) for m in b.column("members") for x, y in combinations(sorted(m.as_py(), key=lambda t: (t["k1"], t["k2"])), 2)]
+        rows: list[tuple] = []
+        for m in b.column("members"):
+            rows += ((x["k1"], x["k2"], y["k1"], y["k2"]) for x, y in combinations(sorted(m.as_py(), key=lambda t: (t["k1"], t["k2"])), 2))
+            if len(rows) >= 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+                rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["a1", "a2", "b1", "b2"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
 
 def jaccard(a: bytes, b: bytes) -> float:
