@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import cut, new_path, release, text_key
+from scenespark.llm.common import bucketed, cut, new_path, release, text_key
 from scenespark.llm.components import components
 from scenespark.llm.decontaminate import decontaminate
 from scenespark.llm.entry import held_out
@@ -28,10 +28,13 @@ from scenespark.llm.toxicity import fit, score
 #: A passage of over 50 words that repeats is cut, whatever its length in bytes.
 WORDS = 51
 
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH = "8m"
+
 #: Texts of this five-word Jaccard similarity or more are near-duplicates, whatever their SimHashes.
 SIMILAR = 0.8
 
-# Each stage begins with release(): its predecessor's rows are written by then, so the
+# Each stage begins with release(), in _begin(): its predecessor's rows are written by then, so the
 # scratch tables that they were made from can go.
 #
 # All stages: a null text counts as empty and stays null where its row stays; an empty
@@ -40,6 +43,12 @@ SIMILAR = 0.8
 # text must be there, and source for the mix.
 
 
+def _begin(spark: SparkSession) -> None:
+    """Scratch tables of the stage before go, and Arrow batches are kept small: pairs of whole texts are large rows."""
+    release(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def _guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     """docs with all columns but the used ones renamed, so that none clashes with what an operator adds, and the columns that undo it."""
     names = {c: c if c in used else f"__in{i}" for i, c in enumerate(docs.columns)}
@@ -48,7 +57,7 @@ def _guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the model predicts to be toxic. Equal texts, so repeated rows too, share their fate; an empty text stays."""
-    release(spark)
+    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows, back = _guarded(docs, "doc_id", "text")
     model = fit(rows, labels.where(~held_out()))
@@ -61,24 +70,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Equal texts, empty and null ones together, are one component, so of repeated rows one
     stays; of rows with equal id and text that whose other columns have the least hash.
     """
-    release(spark)
+    _begin(spark)
     k1, k2 = text_key(F.col("text"))
     rows, back = _guarded(docs, "doc_id", "text")
-    keyed = rows.withColumn("__k1", k1).withColumn("__k2", k2)
-    found = cut(near_duplicates(keyed, keep=["__k1", "__k2"]), "near_found")
-    texts = cut(keyed.groupBy(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).agg(F.coalesce(F.first("text"), F.lit("")).alias("text")), "near_texts")
-    of = found.select("__k1", "__k2", "component").distinct()
-    side = lambda x: of.select(F.col("__k1").alias(f"{x}1"), F.col("__k2").alias(f"{x}2"), F.col("component").alias(x))
-    edges = resembling(texts, SIMILAR).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-    wider = components(edges.where("a <> b"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("wider"))
-    found = found.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component"))
-    # Of a component the text with the least id, and of that text's rows the first: texts are shuffled once, copies combined before.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("b")
-    kept = found.groupBy("component").agg(first).select("b.__k1", "b.__k2")
+    # Of each text its first row: whole rows are shuffled once, copies combined before, and lie by their text from there on.
     rest = [c for c in rows.columns if c not in ("doc_id", "text")]
     tie = F.xxhash64(F.col("text").isNull(), *[F.col(c).cast("string") for c in rest])
     row = F.min_by(F.struct(*rows.columns), F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", tie.alias("t"))).alias("r")
-    return keyed.groupBy("__k1", "__k2").agg(row).join(kept, ["__k1", "__k2"], "left_semi").select("r.*").select(*back)
+    first = bucketed(rows.groupBy(k1.alias("__k1"), k2.alias("__k2")).agg(row).select("__k1", "__k2", "r.*"), "near_rows", "__k1", "__k2")
+    found = cut(near_duplicates(first, keep=["__k1", "__k2"]), "near_found")
+    texts = first.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+    side = lambda x: found.select(F.col("__k1").alias(f"{x}1"), F.col("__k2").alias(f"{x}2"), F.col("component").alias(x))
+    edges = resembling(texts, SIMILAR).join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    wider = components(edges.where("a <> b"), "a", "b").select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    found = found.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k1", "__k2")).alias("b")
+    kept = found.groupBy("component").agg(least).select("b.__k1", "b.__k2")
+    return first.join(kept, ["__k1", "__k2"], "left_semi").select(*back)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +95,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every place of a repeat is cut, so of repeated rows long enough nothing is left. A
     document of which only white space is left after a cut goes; others stay, also empty ones.
     """
-    release(spark)
+    _begin(spark)
     rows, back = _guarded(docs.withColumn("__null", F.col("text").isNull()), "text")
     null = f"__in{len(docs.columns)}"
     found = dedup_substrings(rows, with_text=True, words=WORDS)
@@ -102,7 +110,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item. Equal texts share their fate; a text without words stays."""
-    release(spark)
+    _begin(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, back = _guarded(docs, "text")
     return decontaminate(rows, items).where(~F.col("contaminated")).select(*back)
@@ -113,7 +121,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own; repeated rows share their fate; a document without words isn't taken.
     """
-    release(spark)
+    _begin(spark)
     return mix(docs).where("copies > 0")
 
 
