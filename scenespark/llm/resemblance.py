@@ -3,13 +3,14 @@
 Candidates come from MinHash bands: 24 bands of 5 minima, by which a pair at 0.8 is met
 with probability 0.9999. Every candidate pair is verified on its exact sets. A band's
 bucket of more than `crowd` texts (a large cluster of near copies) isn't gathered: its
-members are compared with its least and its greatest text, so that work stays linear.
+members are compared with its least and its greatest text, and where those links leave
+it in several classes, members of each with those of the others until none is open.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .components import components
 from .suffix import CHUNK, _buffers, _mixed, _word_grams, _word_sums, _words
 
 BANDS, ROWS = 24, 5
@@ -96,16 +98,72 @@ def _verified(least: float):
     return run
 
 
+def _texts_of(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a1, a2, b1, b2) of texts that resemble each other."""
+    side = lambda x: texts.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("text").alias(f"{x}t"))
+    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "at", "bt")
+    return both.mapInArrow(_verified(least), "a1 long, a2 long, b1 long, b2 long")
+
+
+def _flat(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs of keys (structs x and y) as distinct (a1, a2, b1, b2), the lesser key first."""
+    pairs = pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    return pairs.select(*[F.col(f"{e}.k{i}").alias(f"{e}{i}") for e in "ab" for i in (1, 2)]).distinct()
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
+
+
+def _classes(edges: DataFrame, name: str) -> DataFrame:
+    """(name, wider) of each node of the edges a, b: the class that they make it part of."""
+    return components(edges, "a", "b").select(F.col("node").alias(name), F.col("component").alias("wider"))
+
+
+def _settled(open_: DataFrame, edges: DataFrame, texts: DataFrame, least: float) -> Iterator[DataFrame]:
+    """The links that `edges` lacks between classes within crowded buckets (open_: key, me).
+
+    A bucket whose members are one class has nothing to add. In any other, some members
+    of each class, twice as many each round, are compared with all members of other
+    classes and then leave the bucket, as no pair of theirs is left. It ends with the
+    last bucket of two classes, so no link between classes is missed.
+    """
+    left = open_.join(_classes(_ends(edges), "me"), "me", "left").select("key", "me", F.coalesce("wider", "me").alias("cls"))
+    for r in count():
+        left = cut(left, "near_left")
+        mixed = left.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("key")
+        left = cut(left.join(mixed, "key", "left_semi"), "near_open")
+        if left.isEmpty():
+            return
+        part = F.pmod(F.xxhash64("me"), F.lit(2 ** min(r, 40)))
+        chosen = cut(left.groupBy("key", "cls", part.alias("part")).agg(F.min("me").alias("pivot")).drop("part"), "near_pivots")
+        pairs = chosen.withColumnRenamed("cls", "of").join(left, "key").where("of <> cls")
+        new = cut(_texts_of(cut(_flat(pairs, "pivot", "me"), "near_pairs"), texts, least), "near_links")
+        yield new
+        cls = left.select("me", "cls").distinct()
+        side = lambda x: cls.select(F.col("me").alias(x), F.col("cls").alias(f"{x}c"))
+        joined = _ends(new).join(side("a"), "a").join(side("b"), "b").select(F.col("ac").alias("a"), F.col("bc").alias("b"))
+        left = left.join(chosen.select("key", F.col("pivot").alias("me")), ["key", "me"], "left_anti")
+        left = left.join(_classes(joined, "cls"), "cls", "left").select("key", "me", F.coalesce("wider", "cls").alias("cls"))
+
+
 def resembling(texts: DataFrame, least: float = 0.8, crowd: int = 32) -> DataFrame:
-    """(a1, a2, b1, b2): keys of pairs of different texts (columns k1, k2, text) with a similarity of `least` or more."""
+    """(a1, a2, b1, b2): keys of pairs of different texts (columns k1, k2, text) with a similarity of `least` or more.
+
+    Of a bucket of more than `crowd` texts, links that join two classes are all there;
+    pairs within a class may be left out, as they change no class.
+    """
     posted = cut(texts.select("k1", "k2", "text").mapInArrow(_bands, "k1 long, k2 long, key long"), "near_bands")
     me = F.struct("k1", "k2")
     sizes = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(me).alias("lo"), F.max(me).alias("hi")).where("n > 1"), "near_sizes")
     lists = posted.join(sizes.where(F.col("n") <= crowd).select("key"), "key").groupBy("key").agg(F.collect_list(me).alias("members"))
     pairs = lists.select("members").mapInArrow(_pairs, "a1 long, a2 long, b1 long, b2 long")
-    crowded = posted.join(sizes.where(F.col("n") > crowd), "key").select(me.alias("me"), F.explode(F.array("lo", "hi")).alias("end")).where("me <> end")
-    crowded = crowded.select(F.least("me", "end").alias("a"), F.greatest("me", "end").alias("b")).select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"))
-    pairs = cut(pairs.unionByName(crowded).distinct(), "near_pairs")
-    side = lambda x: texts.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("text").alias(f"{x}t"))
-    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "at", "bt")
-    return both.mapInArrow(_verified(least), "a1 long, a2 long, b1 long, b2 long")
+    crowded = posted.join(sizes.where(F.col("n") > crowd), "key").select("key", me.alias("me"), "lo", "hi")
+    stars = crowded.select("me", F.explode(F.array("lo", "hi")).alias("end")).where("me <> end")
+    pairs = cut(pairs.unionByName(_flat(stars, "me", "end")).distinct(), "near_pairs")
+    found = cut(_texts_of(pairs, texts, least), "near_links")
+    if sizes.where(F.col("n") > crowd).isEmpty():
+        return found
+    for new in _settled(crowded.where("me <> lo AND me <> hi").select("key", "me"), found, texts, least):
+        found = found.unionByName(new)
+    return found

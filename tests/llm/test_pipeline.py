@@ -176,3 +176,32 @@ def test_crowded_buckets_are_not_gathered(spark):
     rows = [(i, -i, " ".join([*line[:100], f"x{i}", *line[100:]])) for i in range(80)]
     found = resembling(spark.createDataFrame(rows, "k1 long, k2 long, text string"), crowd=8).collect()
     assert {x for r in found for x in (r["a1"], r["b1"])} == set(range(80)) and len(found) < 80 * 79 / 2
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Drifting copies, of which the ends don't resemble each other, and two clusters that share buckets: classes as by brute force."""
+    from scenespark.llm.resemblance import jaccard, resembling
+
+    rng = random.Random(4)
+    line = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(50):  # each one word further from the first
+        line[3 * i] = f"x{rng.randint(0, 9999)}"
+        texts.append(" ".join(line))
+    base = [f"v{i}" for i in range(200)]
+    for c in range(2):  # similarity across the two about 0.7
+        own = [f"{w}c{c}" if 90 <= i < 112 else w for i, w in enumerate(base)]
+        texts += [" ".join([*own[: 4 * i], f"y{i}", *own[4 * i :]]) for i in range(25)]
+    rows = [(i, -i, t) for i, t in enumerate(texts)]
+    found = {(r["a1"], r["b1"]) for r in resembling(spark.createDataFrame(rows, "k1 long, k2 long, text string"), crowd=4).collect()}
+    true = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i].encode(), texts[j].encode()) >= 0.8}
+
+    def classes(pairs):
+        top = list(range(len(texts)))
+        for a, b in sorted(pairs):
+            x, y = top[a], top[b]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    assert found <= true and len(found) < len(true) and classes(found) == classes(true)
+    assert len(set(classes(true))) >= 3 and jaccard(texts[0].encode(), texts[49].encode()) < 0.8
