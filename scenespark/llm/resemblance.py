@@ -123,9 +123,9 @@ def _classes(edges: DataFrame, name: str) -> DataFrame:
 def _settled(open_: DataFrame, edges: DataFrame, texts: DataFrame, least: float) -> Iterator[DataFrame]:
     """The links that `edges` lacks between classes within crowded buckets (open_: key, me).
 
-    A bucket whose members are one class has nothing to add. In any other, some members
-    of each class, twice as many each round, are compared with all members of other
-    classes and then leave the bucket, as no pair of theirs is left. It ends with the
+    A bucket whose members are one class has nothing to add. In any other, a member, then
+    four, then sixteen, are compared with all members of other classes and leave the
+    bucket, as no pair of theirs is left; most classes become one by the first. It ends with the
     last bucket of two classes, so no link between classes is missed.
     """
     left = open_.join(_classes(_ends(edges), "me"), "me", "left").select("key", "me", F.coalesce("wider", "me").alias("cls"))
@@ -135,9 +135,10 @@ def _settled(open_: DataFrame, edges: DataFrame, texts: DataFrame, least: float)
         left = cut(left.join(mixed, "key", "left_semi"), "near_open")
         if left.isEmpty():
             return
-        part = F.pmod(F.xxhash64("me"), F.lit(2 ** min(r, 40)))
-        chosen = cut(left.groupBy("key", "cls", part.alias("part")).agg(F.min("me").alias("pivot")).drop("part"), "near_pivots")
-        pairs = chosen.withColumnRenamed("cls", "of").join(left, "key").where("of <> cls")
+        part = F.pmod(F.xxhash64("me"), F.lit(4 ** min(r, 20)))
+        one = left.groupBy("key", part.alias("part")).agg(F.min(F.struct("me", "cls")).alias("p"))
+        chosen = cut(one.select("key", F.col("p.me").alias("pivot"), F.col("p.cls").alias("of")), "near_pivots")
+        pairs = chosen.join(left, "key").where("of <> cls")
         new = cut(_texts_of(cut(_flat(pairs, "pivot", "me"), "near_pairs"), texts, least), "near_links")
         yield new
         cls = left.select("me", "cls").distinct()
