@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import language, toxicity
 from .decontaminate import decontaminate
 from .fingerprint import compare_with_next
 from .licenses import scan_licenses
@@ -97,6 +97,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(prepared(rows.select("vec_id", "embedding", label.alias("label"))), F.col("id") % 50 == 0)
 
 
+def op12_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the hashed maximum-entropy model and under add-one unigrams."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    return language.score(docs, held)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and roots of the words of all documents, single edits apart."""
     return spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -114,6 +121,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_model": op12_language_model,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
