@@ -101,6 +101,7 @@ class Model:
     total: int
     kinds: int
     ends: int
+    frequent: int
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of a dictionary number
     classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of a code
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))  # of a code in its class
@@ -109,10 +110,6 @@ class Model:
     word_bias: np.ndarray = field(default_factory=lambda: np.zeros((0, SIZE), np.float32))
     tables: list[np.ndarray] = field(default_factory=list)  # class and word weights; the last column is what steps are scaled by
 
-    @property
-    def frequent(self) -> int:
-        return min(FREQUENT, len(self.words))
-
     @property
     def end(self) -> int:
         return self.frequent + ENDINGS
@@ -313,12 +310,12 @@ def _with_classes(model: Model, near: np.ndarray, ending_sums: np.ndarray) -> No
     model.tables = [np.zeros((HASHES, len(mass) + 1), np.float32), np.zeros((HASHES, SIZE + 1), np.float32)]
 
 
-def fit(texts: DataFrame, counts: DataFrame, ends: int) -> Model:
+def fit(texts: DataFrame, counts: DataFrame, ends: int, frequent: int = FREQUENT, dictionary: int = DICTIONARY) -> Model:
     """A model of texts (columns text, round: 0 to 15) whose token_counts() are given; ends: how many texts there are, null ones included."""
     spark = texts.sparkSession
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(DICTIONARY).select("word", "c").collect()
-    model = Model([r["word"].encode() for r in top], np.array([r["c"] for r in top], np.int64), total + ends, kinds + (ends > 0), ends)
+    top = counts.orderBy(F.desc("c"), "word").limit(dictionary).select("word", "c").collect()
+    model = Model([r["word"].encode() for r in top], np.array([r["c"] for r in top], np.int64), total + ends, kinds + (ends > 0), ends, min(frequent, len(top)))
     k = model.frequent
     model.codes = np.concatenate((np.arange(k), k + np.array([_ending(w) for w in model.words[k:]], int), k + np.arange(ENDINGS))).astype(np.int32)
     sums = np.zeros(ENDINGS)

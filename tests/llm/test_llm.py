@@ -1,4 +1,4 @@
-"""The ten operators against brute-force versions, on small tables with nulls, repeats, long texts and clashing columns."""
+"""Operators 1 to 10 against brute-force versions, on small tables with nulls, repeats, long texts and clashing columns."""
 
 import hashlib
 import random
