@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -78,10 +80,17 @@ def discard(*tables: DataFrame) -> None:
         _SCRATCH[t.sparkSession.sparkContext.applicationId].remove(t.scratch_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables made so far. Only for callers that have written every result that reads them."""
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The scratch tables made within go at its end, and no others: write there every result that reads them."""
+    own = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before = set(own)
+    try:
+        yield
+    finally:
+        for path in [p for p in own if p not in before]:
+            _delete(spark, path)
+            own.remove(path)
 
 
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:

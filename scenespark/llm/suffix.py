@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -448,15 +449,14 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
 
 
-def _word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Prefix polynomial hashes over words; salt: another hash of each word."""
+def _word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Prefix polynomial hashes over words, each word by its XXH3."""
     if not len(starts):
         return np.zeros(1, np.uint64)
-    base = starts[0]
-    prefix = _prefix(data[base : ends[-1]] ^ np.uint8(salt))
-    power, inverse = _powers(max(len(prefix), len(starts)))
-    hashes = _mixed(((prefix[ends - base] - prefix[starts - base]) * inverse[starts - base]) ^ _U(salt))
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(starts)], dtype=np.uint64)))
+    line, base = data[starts[0] : ends[-1]].tobytes(), int(starts[0])
+    h = xxhash.xxh3_64_intdigest
+    hashes = np.array([h(line[s:e]) for s, e in zip((starts - base).tolist(), (ends - base).tolist())], np.uint64)
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(len(starts))[0][: len(starts)], dtype=np.uint64)))
 
 
 def _word_grams(sums: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -514,7 +514,7 @@ def _word_anchor_rows(words: int, k: int):
 
 
 def _word_windows(words: int):
-    """Of texts with the stretches asked of them: each of their windows, two hashes of its words and its bytes' place."""
+    """Of texts with the stretches asked of them: each of their windows, its words' BLAKE2 digest (128 bits, as two longs) and its bytes' place."""
     names = ["h1", "h2", "k1", "k2", "s", "e"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -527,12 +527,15 @@ def _word_windows(words: int):
                     asked[a["first"]] += 1
                     asked[a["last"] + 1] -= 1
                 asked = np.cumsum(asked[:-1]) > 0
-                for x, y in _pieces(len(starts), words):
-                    at = np.flatnonzero(asked[x : y - words + 1])
+                line = b" ".join(data.tobytes().split())  # as _words parts them
+                stops = np.cumsum(ends - starts + 1) - 1
+                for x in range(0, len(starts), 1 << 16):
+                    at = x + np.flatnonzero(asked[x : x + (1 << 16)])
                     if len(at):
-                        h = [_word_grams(_word_sums(data, starts[x:y], ends[x:y], salt), words, at).view(np.int64) for salt in (0, 0xA5)]
-                        near = [starts[x + at].astype(np.int32), ends[x + at + words - 1].astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*h, np.full(len(at), k1), np.full(len(at), k2), *near)], names=names)
+                        heads, tails = (stops[at] - (ends - starts)[at]).tolist(), stops[at + words - 1].tolist()
+                        h = np.frombuffer(b"".join(blake2b(line[s:e], digest_size=16).digest() for s, e in zip(heads, tails)), np.int64).reshape(-1, 2)
+                        near = [starts[at].astype(np.int32), ends[at + words - 1].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[:, 0], h[:, 1], np.full(len(at), k1), np.full(len(at), k2), *near)], names=names)
 
     return run
 
@@ -541,8 +544,9 @@ def repeated_passages(texts: DataFrame, words: int, k: int = 8) -> DataFrame:
     """(k1, k2, s, e): the bytes of each window of `words` words that starts twice in different texts (columns k1, k2, text) or in one.
 
     Words are what white space parts, so what stands between them may differ. Anchors
-    are as above, in words. The windows of shared anchors are counted by two hashes of
-    their words, combined before the shuffle: no group is gathered, however common.
+    are as above, in words. The windows of shared anchors are counted by a cryptographic
+    digest of their words, all of which stands for equality at each place, combined before
+    the shuffle: no group is gathered, however common.
     """
     rows = cut(texts.select("k1", "k2", "text").mapInArrow(_word_anchor_rows(words, k), "k1 long, k2 long, first int, last int, anchor long"), "passage_anchors")
     shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")

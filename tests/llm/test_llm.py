@@ -179,11 +179,11 @@ def test_suffix_compares_bytes():
 
 
 def test_scratch_tables_leave_the_catalogue(spark):
-    common.release(spark)
-    df = common.bucketed(spark.range(10), "gone", "id")
-    assert df.count() == 10 and any(t.name.startswith("gone_") for t in spark.catalog.listTables())
-    common.release(spark)
-    assert not any(t.name.startswith("gone_") for t in spark.catalog.listTables())
+    outer = common.cut(spark.range(3), "stays")
+    with common.scratch(spark):
+        df = common.bucketed(spark.range(10), "gone", "id")
+        assert df.count() == 10 and any(t.name.startswith("gone_") for t in spark.catalog.listTables())
+    assert not any(t.name.startswith("gone_") for t in spark.catalog.listTables()) and outer.count() == 3
 
 
 def test_suffix_kept_text_is_utf8(spark):

@@ -205,3 +205,79 @@ def test_crowded_buckets_lose_no_link(spark):
 
     assert found <= true and len(found) < len(true) and classes(found) == classes(true)
     assert len(set(classes(true))) >= 3 and jaccard(texts[0].encode(), texts[49].encode()) < 0.8
+
+
+def test_templates_make_no_pairs(spark):
+    """Hundreds of texts with most of their words in common: the links are those of brute force, and few pairs are verified for them."""
+    from scenespark.llm import resemblance as R
+
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(100)]
+    texts = []
+    for i in range(240):  # from half to nearly all of the words are the template's
+        own = [f"u{rng.randint(0, 10**9)}" for _ in range(rng.choice([5, 18, 25, 40, 90]))]
+        texts.append(" ".join([*template, *own]))
+    rows = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "k1 long, k2 long, text string")
+    seen = []
+    real = R._linked
+    try:
+        R._linked = lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest)
+        found = {(r["a1"], r["b1"]) for r in R.resembling(rows, crowd=8).collect()}
+    finally:
+        R._linked = real
+    sets = [R.shingle_set(t.encode()) for t in texts]
+    true = {(i, j) for i in range(240) for j in range(i + 1, 240) if R.similarity(sets[i], sets[j]) >= 0.8}
+    linked = {x for p in true for x in p}
+    top = list(range(240))
+    for a, b in sorted(found):
+        x, y = top[a], top[b]
+        top = [min(x, y) if t in (x, y) else t for t in top]
+    assert found <= true and len(true) > 500 and all(top[a] == top[b] for a, b in true)
+    assert sum(seen) < 240 * 239 / 8 and 0 < len(linked) < 240
+
+
+def test_bitmaps_and_prefixes_rule_no_pair_out(spark):
+    """Every pair at 0.8 or more is still there after lengths, positions and parity bitmaps."""
+    from scenespark.llm import resemblance as R
+
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[: rng.randint(50, 60)], *[f"z{rng.randint(0, 40)}" for _ in range(rng.randint(0, 9))]]) for _ in range(60)] + ["a b c", "a b c d", "one", ""]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "k1 long, k2 long, text string")
+    keys = df.select("k1", "k2")
+    none = spark.createDataFrame([], "a1 long, a2 long, b1 long, b2 long")
+    found = {(r["a1"], r["b1"]) for r in R._crowded(df, keys, none, 0.8, 10**6).collect()}
+    true = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if R.jaccard(texts[i].encode(), texts[j].encode()) >= 0.8}
+    assert found == true and len(true) > 20
+
+
+def test_words_whose_polynomial_hashes_collide(spark):
+    """Two words of 1,024 letters (a Thue-Morse sequence and its complement) are not one another, in passages and in near copies."""
+    from scenespark.llm.resemblance import jaccard
+    from scenespark.llm.suffix import repeated_passages
+
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    half = [f"w{i}" for i in range(60)]
+    say = lambda w: " ".join([*half[:30], w, *half[30:]])
+    rows = lambda *ts: spark.createDataFrame([(i, -i, t) for i, t in enumerate(ts)], "k1 long, k2 long, text string")
+    assert repeated_passages(rows(say(one), say(other)), 51).count() == 0
+    assert repeated_passages(rows(say(one), say(one) + " more"), 51).count() == 22
+    assert abs(jaccard(say(one).encode(), say(other).encode()) - 52 / 62) < 1e-9
+
+
+def test_frames_outlive_other_stages(spark, tmp_path):
+    """Two operators and two stages, built one after the other and run after that; the session's settings stay."""
+    from scenespark.llm import entry as E
+
+    text = " ".join(f"word{i}" for i in range(80))
+    d = str(tmp_path)
+    docs = spark.createDataFrame([(i, f"{text} x{i}" if i % 3 else f"own{i} " * 30, "en", "ab"[i % 2], 9) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 0), (6, 1)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    settings = dict(spark.conf.getAll)
+    frames = [E.op9_simhash(spark, d), E.op1_mix_sources(spark, d), *(stage(spark, docs, d) for _, stage in P.STAGES)]
+    assert dict(spark.conf.getAll) == settings
+    assert [f.count() for f in frames][:2] == [30, 30]
