@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenespark.llm.common import bucketed, cut, new_path, release, text_key
+from scenespark.llm.common import bucketed, cut, new_path, scratch, text_key
 from scenespark.llm.components import components
 from scenespark.llm.decontaminate import decontaminate
 from scenespark.llm.entry import held_out
@@ -28,14 +28,11 @@ from scenespark.llm.toxicity import fit, score
 #: A passage of over 50 words that repeats is cut, whatever its length in bytes.
 WORDS = 51
 
-#: Bytes of an Arrow batch between Spark and its Python workers.
-BATCH = "8m"
-
 #: Texts of this five-word Jaccard similarity or more are near-duplicates, whatever their SimHashes.
 SIMILAR = 0.8
 
-# Each stage begins with release(), in _begin(): its predecessor's rows are written by then, so the
-# scratch tables that they were made from can go.
+# A stage deletes no table that a frame still to run could read, its own included: run() drops each
+# stage's scratch tables once its rows are written, and a caller of one stage can do so with scratch().
 #
 # All stages: a null text counts as empty and stays null where its row stays; an empty
 # table gives an empty table; whole texts are read, however long; columns that a stage
@@ -43,12 +40,6 @@ SIMILAR = 0.8
 # text must be there, and source for the mix.
 
 
-def _begin(spark: SparkSession) -> None:
-    """Scratch tables of the stage before go, and Arrow batches are kept small: pairs of whole texts are large rows."""
-    release(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-
-
 def _guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
     """docs with all columns but the used ones renamed, so that none clashes with what an operator adds, and the columns that undo it."""
     names = {c: c if c in used else f"__in{i}" for i, c in enumerate(docs.columns)}
@@ -57,7 +48,6 @@ def _guarded(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the model predicts to be toxic. Equal texts, so repeated rows too, share their fate; an empty text stays."""
-    _begin(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows, back = _guarded(docs, "doc_id", "text")
     model = fit(rows, labels.where(~held_out()))
@@ -70,7 +60,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Equal texts, empty and null ones together, are one component, so of repeated rows one
     stays; of rows with equal id and text that whose other columns have the least hash.
     """
-    _begin(spark)
     k1, k2 = text_key(F.col("text"))
     rows, back = _guarded(docs, "doc_id", "text")
     # Of each text its first row: whole rows are shuffled once, copies combined before, and lie by their text from there on.
@@ -95,7 +84,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every place of a repeat is cut, so of repeated rows long enough nothing is left. A
     document of which only white space is left after a cut goes; others stay, also empty ones.
     """
-    _begin(spark)
     rows, back = _guarded(docs.withColumn("__null", F.col("text").isNull()), "text")
     null = f"__in{len(docs.columns)}"
     found = dedup_substrings(rows, with_text=True, words=WORDS)
@@ -110,7 +98,6 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of a benchmark item. Equal texts share their fate; a text without words stays."""
-    _begin(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, back = _guarded(docs, "text")
     return decontaminate(rows, items).where(~F.col("contaminated")).select(*back)
@@ -121,7 +108,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own; repeated rows share their fate; a document without words isn't taken.
     """
-    _begin(spark)
     return mix(docs).where("copies > 0")
 
 
@@ -142,7 +128,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline_{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
