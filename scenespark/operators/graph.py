@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import id_key
-from ..functions.storage import cut
+from ..functions.pointers import components as star_components
+from ..functions.storage import cut, ranked
 
 
 def clean_edges(rooms: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -24,21 +25,18 @@ def clean_edges(rooms: DataFrame, adjacency: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str = "node", rank: Column | None = None) -> DataFrame:
     """nodes (keys, node) with component: the node of the least rank reachable, within equal keys.
 
-    edges: keys, src, dst, symmetric. Labels spread to neighbours and along labels of
-    labels, so a chain of n nodes takes about log n rounds; a round that changes no label ends it.
+    edges: keys, src, dst, one direction or both. Nodes of all keys are numbered by rank
+    once, so the rounds deal in pairs of longs.
     """
-    order = F.struct((id_key(node) if rank is None else rank).alias("r"), F.col(node).alias("n"))
-    label = cut(nodes.select(*keys, node, order.alias("label")).distinct(), "components")
-    while True:
-        near = edges.join(label.select(*keys, F.col(node).alias("dst"), F.col("label").alias("l")), [*keys, "dst"]).groupBy(*keys, "src").agg(F.min("l").alias("l"))
-        new = label.join(near.withColumnRenamed("src", node), [*keys, node], "left").withColumn("new", F.least("label", F.coalesce("l", "label"))).drop("l")
-        jump = label.select(*keys, F.col(node).alias("__n"), F.col("label").alias("far"))
-        new = new.withColumn("__n", F.col("new.n")).join(jump, [*keys, "__n"], "left").withColumn("new", F.least("new", F.coalesce("far", "new")))
-        new = cut(new.select(*keys, node, "label", "new"), "components")
-        changed = not new.where("label <> new").isEmpty()
-        label = new.select(*keys, node, F.col("new").alias("label"))
-        if not changed:
-            return label.select(*keys, node, F.col("label.n").alias("component"))
+    order = (id_key(node) if rank is None else rank).alias("__r")
+    ends = ranked(nodes.select(*keys, node, order).distinct(), "component_nodes", *map(F.col, keys), F.col("__r"), F.col(node)).drop("__r")
+    pairs = edges.select(*keys, "src", "dst").where("src <> dst")
+    for column, name in (("src", "a"), ("dst", "b")):
+        pairs = pairs.join(ends.select(*keys, F.col(node).alias(column), F.col("rank").alias(name)), [*keys, column])
+    found = star_components(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "a", "b")
+    out = ends.join(found.withColumnRenamed("node", "rank"), "rank", "left").withColumn("component", F.coalesce("component", "rank"))
+    named = ends.select(F.col("rank").alias("component"), F.col(node).alias("__name"))
+    return out.join(named, "component").select(*keys, node, F.col("__name").alias("component"))
 
 
 def room_components(rooms: DataFrame, adjacency: DataFrame) -> DataFrame:

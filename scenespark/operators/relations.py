@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import id_key
-from ..functions.storage import cut
+from ..functions.pointers import Ancestors, cyclic
+from ..functions.storage import cut, ranked
 from .graph import components
 
 # Predicates by class.
@@ -46,29 +47,28 @@ def support_edges(relations: DataFrame) -> DataFrame:
     return rows.withColumn("parent_rank", F.row_number().over(Window.partitionBy("scene_id", "child").orderBy(id_key("parent"))))
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of edges (scene_id, child, parent) numbered by scene and id, (scene_id, object_id, rank), and the edges with node and to."""
+    ends = edges.select("scene_id", F.col("child").alias("object_id")).unionByName(edges.select("scene_id", F.col("parent").alias("object_id"))).distinct()
+    nodes = ranked(ends, "objects", F.col("scene_id"), id_key("object_id"))
+    for column, name in (("child", "node"), ("parent", "to")):
+        edges = edges.join(nodes.select("scene_id", F.col("object_id").alias(column), F.col("rank").alias(name)), ["scene_id", column])
+    return nodes, edges
+
+
 def support_forest(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The forest (scene_id, child, parent, predicate) and the extra links, same columns.
 
     A child hangs on its parent of least id. A child's edge is cut where its walk upwards
     runs into a cycle and no node on the walk has a lesser id; that breaks each cycle once.
-    Walks all grow by one step a round, and stop where they repeat a node or end.
+    Walks are followed by pointer doubling, in as many rounds as the logarithm of the longest.
     """
     edges = cut(support_edges(relations), "support_edges")
-    chosen = edges.where("parent_rank = 1").select("scene_id", "child", "parent", "predicate")
-    step = chosen.select("scene_id", F.col("child").alias("at"), F.col("parent").alias("to"))
-    walk = cut(chosen.select("scene_id", "child", F.col("parent").alias("at"), F.array("child").alias("seen"), id_key("child").alias("least")), "walks")
-    cyclic = None
-    while True:
-        grown = walk.join(step, ["scene_id", "at"]).withColumns({"seen": F.concat("seen", F.array("at")), "least": F.least("least", id_key("at"))})
-        grown = cut(grown.select("scene_id", "child", F.col("to").alias("at"), "seen", "least", F.array_contains("seen", F.col("to")).alias("closed")), "walks")
-        found = grown.where("closed").select("scene_id", "child", "least")
-        cyclic = found if cyclic is None else cyclic.unionByName(found)
-        walk = grown.where("NOT closed").drop("closed")
-        if walk.isEmpty():
-            break
-    cuts = cyclic.where(F.col("least.id") == F.col("child")).select("scene_id", "child")
-    forest = chosen.join(cuts, ["scene_id", "child"], "left_anti")
-    extra = edges.where("parent_rank > 1").select("scene_id", "child", "parent", "predicate").unionByName(chosen.join(cuts, ["scene_id", "child"], "left_semi"))
+    chosen = cut(_numbered(edges.where("parent_rank = 1"))[1].select("scene_id", "child", "parent", "predicate", "node", "to"), "support_chosen")
+    cuts = cyclic(chosen).where("node = least").select("node")
+    shown = ["scene_id", "child", "parent", "predicate"]
+    forest = chosen.join(cuts, "node", "left_anti").select(*shown)
+    extra = edges.where("parent_rank > 1").select(*shown).unionByName(chosen.join(cuts, "node", "left_semi").select(*shown))
     return cut(forest, "forest"), extra
 
 
@@ -94,15 +94,25 @@ def support_paths(relations: DataFrame, forest: DataFrame) -> DataFrame:
     return out.join(inner, ["scene_id", "node"], "left").withColumn("leaf", F.col("__inner").isNull()).drop("__inner")
 
 
-def support_chains(relations: DataFrame, top: int | None = TOP_CHAINS) -> DataFrame:
-    """(scene_id, rank, size, chain, max_depth): root-to-leaf chains of three or more, longest first, then by leaf; max_depth of all paths."""
-    forest, _ = support_forest(relations)
-    paths = support_paths(relations, forest).where("leaf")
-    depth = paths.groupBy("scene_id").agg((F.max(F.size("path")) - 1).alias("max_depth"))
-    w = Window.partitionBy("scene_id").orderBy(F.desc(F.size("path")), id_key("node"))
-    out = paths.where(F.size("path") >= 3).withColumn("rank", F.row_number().over(w)).join(depth, "scene_id")
-    out = out if top is None else out.where(F.col("rank") <= top)
-    return out.select("scene_id", "rank", F.size("path").alias("size"), F.transform("path", lambda k: k["id"]).alias("chain"), "max_depth")
+def support_chains(relations: DataFrame, top: int | None = TOP_CHAINS, forest: DataFrame | None = None) -> DataFrame:
+    """(scene_id, rank, size, chain, max_depth): root-to-leaf chains of three or more, longest first, then by leaf; max_depth of all paths.
+
+    Depths come from pointer doubling; only the lines of the leaves that are shown are laid out. An
+    object that nothing holds and that holds nothing is a chain of itself, which counts in max_depth.
+    """
+    forest = support_forest(relations)[0] if forest is None else forest
+    lone = forest_roots(relations, forest).select("scene_id").distinct()
+    nodes, edges = _numbered(forest)
+    nodes, edges = cut(nodes, "chain_nodes"), cut(edges.select("node", F.col("to").alias("parent")), "chain_edges")
+    ancestors = Ancestors(edges)
+    leaves = ancestors.depths.join(edges.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").join(nodes.withColumnRenamed("rank", "node"), "node")
+    depth = lone.join(leaves.groupBy("scene_id").agg(F.max("depth").cast("int").alias("max_depth")), "scene_id", "left").fillna(0, ["max_depth"])
+    w = Window.partitionBy("scene_id").orderBy(F.desc("depth"), "node")
+    shown = leaves.where("depth >= 2").select("scene_id", "node", F.row_number().over(w).alias("rank"), (F.col("depth") + 1).cast("int").alias("size"))
+    shown = cut(shown if top is None else shown.where(F.col("rank") <= top), "chains")
+    lines = ancestors.lines(shown).join(nodes.select(F.col("rank").alias("at"), "object_id"), "at")
+    chain = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("up"), "object_id"))), lambda x: x["object_id"])
+    return shown.join(lines.groupBy("node").agg(chain.alias("chain")), "node").join(depth, "scene_id").select("scene_id", "rank", "size", "chain", "max_depth")
 
 
 def receptacles(relations: DataFrame, top: int | None = TOP_RECEPTACLES, forest: DataFrame | None = None) -> DataFrame:

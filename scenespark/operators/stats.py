@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import registry as R
 from ..functions.keys import host_of, is_exceeded, is_ok, question_type, tokens
+from ..functions.quantiles import quantiles
+from ..functions.storage import cut
 from .cells import in_scope
 
 RUN = ["model", "judge"]
@@ -147,9 +149,13 @@ def cost_quality(results: DataFrame) -> DataFrame:
 
 
 def latency_profile(results: DataFrame) -> DataFrame:
-    """Quartiles of per-question mean seconds by representation, whiskers at 1.5 interquartile ranges, and outliers beyond."""
+    """Quartiles of per-question mean seconds by representation, whiskers at 1.5 interquartile ranges, and outliers beyond.
+
+    Quartiles are exact and come from histograms, so no task holds a representation's questions.
+    """
     per_q = question_stats(results).where("n_ms > 0").groupBy(*RUN, "rep", "question_id").agg((F.sum("sum_ms") / F.sum("n_ms") / 1000).alias("s"))
-    box = per_q.groupBy(*RUN, "rep").agg(*[F.percentile("s", p).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    per_q = cut(per_q, "latencies")
+    box = quantiles(per_q, [*RUN, "rep"], "s", [0.25, 0.5, 0.75]).select(*RUN, "rep", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("s") >= F.col("q1") - reach) & (F.col("s") <= F.col("q3") + reach)
     return per_q.join(box, [*RUN, "rep"]).groupBy(*RUN, "rep", "q1", "median", "q3").agg(
