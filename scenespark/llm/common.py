@@ -1,20 +1,16 @@
-"""What several operators of this subpackage share: shared-folder tables, global ranks, folding."""
+"""What several operators of this subpackage share: folding, text keys, ranges; and the tables of the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from bisect import bisect_left
-from collections.abc import Iterator
-from contextlib import contextmanager
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Of sessions without spark.checkpoint.dir (tests), by application id.
-_OWN: dict[str, str] = {}
+from ..functions.storage import bucketed, cut, discard, new_path, ranked, scratch, shared_dir
+
+__all__ = ["bucketed", "cut", "discard", "new_path", "ranked", "scratch", "shared_dir"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,87 +18,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; on a local master without one, as in tests, a folder of this session."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = Path(tempfile.mkdtemp(prefix="spark-")).as_uri()
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Scratch tables of this process, by application id, and the catalogue's names of those that have one, by path.
-_SCRATCH: dict[str, list[str]] = {}
-_NAMES: dict[str, str] = {}
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    path = new_path(spark, name)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if path in _NAMES:
-        spark.sql(f"DROP TABLE IF EXISTS {_NAMES.pop(path)}")
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    The lineage ends there, on files that outlive any executor, and later plans
-    know the table's true size: Spark broadcasts it only below
-    spark.sql.autoBroadcastJoinThreshold and shuffles otherwise.
-    """
-    spark = df.sparkSession
-    path = _scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that cut() made, when nothing that is still to run reads them."""
-    for t in tables:
-        _delete(t.sparkSession, t.scratch_path)
-        _SCRATCH[t.sparkSession.sparkContext.applicationId].remove(t.scratch_path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """The scratch tables made within go at its end, and no others: write there every result that reads them."""
-    own = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
-    before = set(own)
-    try:
-        yield
-    finally:
-        for path in [p for p in own if p not in before]:
-            _delete(spark, path)
-            own.remove(path)
-
-
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Like cut(), in as many buckets as there are shuffle partitions, so that joins on keys leave these rows in place. Its name leaves the catalogue with its files."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path, table = _scratch(spark, name), f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(table)
-    _NAMES[path] = table
-    return spark.table(table)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() is much faster and agrees on ASCII."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -165,23 +80,3 @@ def range_code(bounds: list[tuple], *keys: str) -> Column:
         return pa.array(out, pa.int32())
 
     return code(*keys)
-
-
-def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df with rank (long, from 0) in the global order; no single task sees all rows.
-
-    Rows are range-sorted and written; the only thing that reaches the driver is
-    one count for each written partition.
-    """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seq = F.monotonically_increasing_id()
-    rows = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__seq", seq), name)
-    part = F.shiftright("__seq", 33)
-    sizes = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}
-    starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    start = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts or [0]]), (part + 1).cast("int"))
-    return rows.withColumn("rank", start + F.col("__seq").bitwiseAND((1 << 33) - 1)).drop("__seq")

@@ -1,47 +1,5 @@
-"""Distributed connected components: alternating large-star and small-star rounds."""
+"""Distributed connected components: alternating large-star and small-star rounds, as the rest of the library runs them."""
 
-from __future__ import annotations
+from ..functions.pointers import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round. edges: a > b, distinct. Each node links its larger (or smaller) neighbours to the least node that it knows.
-
-    The least neighbour is a partial aggregate, so a hub is combined before the
-    shuffle; the join back is one that AQE can split when a hub's rows are skewed.
-    """
-    if large:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        out = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        out = out.unionByName(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of an undirected edge list; component is the least node.
-
-    Self-loops, repeated edges and rows with a null end are dropped; nodes without
-    an edge to another node do not appear. Ends when a round changes nothing.
-    """
-    a, b = F.greatest(src, dst), F.least(src, dst)
-    edges = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    now = cut(edges.select(a.alias("a"), b.alias("b")).distinct(), "cc")
-    sign = None
-    for _ in range(max_rounds):
-        now = cut(_star(_star(now, True), False), "cc")
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if (row[0], row[1]) == sign:
-            break
-        sign = (row[0], row[1])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
+__all__ = ["components"]
