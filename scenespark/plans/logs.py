@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import registry as R
 from ..functions.keys import error_class, host_of, row_key
+from ..functions.storage import new_path
 from ..operators import cells as L
 from ..operators import judging as J
 from ..operators import questions as Q
+from ..streaming import results as T
 from .adapters import ctes, shape
 from .common import fits, values
 
@@ -41,6 +43,16 @@ def _pending(s: SparkSession, d: str) -> DataFrame:
     return L.pending_cells(cells, L.latest_responses(_log(s, d)))
 
 
+def _merged(s: SparkSession, d: str, coverage: bool) -> DataFrame:
+    """The log, dealt to three batches out of order, through the stream's incremental state."""
+    log = _log(s, d)
+    rows = log.select("question_id", F.concat(F.lit("procthor_"), F.col("responder")).alias("scene_id"), F.col("responder").alias("question_type"), "representation", "repetition", "responder", F.lit("judge").alias("judge"), F.when(F.col("error") == "", F.col("latency_ms")).alias("answer_correctness"), "error", F.col("write_order").cast("long").alias("write_order"))
+    table = new_path(s, "log_table")
+    for number in range(3):
+        T.merge_batch(s, table, rows.where(F.pmod(F.col("write_order"), F.lit(3)) == (number + 1) % 3), number)
+    return T.stream_coverage(s, table) if coverage else T.read_state(s, table).drop("question_type", "judge")
+
+
 def _documents(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source", "n_chars")
 
@@ -89,6 +101,8 @@ def _rubric(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "error_class": lambda s, d: _log(s, d).groupBy(error_class().alias("error_class"), "representation").count(),
     "latest_responses": lambda s, d: L.latest_responses(_log(s, d)),
+    "stream_state": lambda s, d: _merged(s, d, False),
+    "stream_coverage": lambda s, d: _merged(s, d, True),
     "compact_log": lambda s, d: L.compact_log(_log(s, d)),
     "pending_cells": _pending,
     "continuity": lambda s, d: L.continuity_violations(_log(s, d), "responder", "m0"),
@@ -125,6 +139,8 @@ _SHORT = r"^[^-–—:;,.!\s]+(\s+[^-–—:;,.!\s]+){0,2}\s*[-–—:;,.!]"
 ORACLES = {
     "error_class": _W("log") + "SELECT CASE WHEN error = '' THEN 'ok' WHEN error LIKE 'CONTEXT_EXCEEDED%' THEN 'context_exceeded' ELSE 'error' END AS error_class, representation, count(*) AS count FROM log GROUP BY ALL",
     "latest_responses": _W("log") + f"SELECT question_id, representation, repetition, responder, write_order, latency_ms, error FROM ({_LAST}) WHERE k = 1",
+    "stream_state": _W("log") + f"SELECT question_id, concat('procthor_', responder) AS scene_id, representation, repetition, responder, CASE WHEN error = '' THEN latency_ms END AS answer_correctness, error, write_order FROM ({_LAST}) WHERE k = 1",
+    "stream_coverage": _W("log") + f"SELECT 'procthor' AS host, representation AS rep, responder AS qt, count(*) AS n, count_if(error <> '' AND error NOT LIKE 'CONTEXT_EXCEEDED%') AS error_count, count_if(error LIKE 'CONTEXT_EXCEEDED%') AS context_exceeded, count_if(error = '') AS n_scored FROM ({_LAST}) WHERE k = 1 GROUP BY ALL",
     "compact_log": _W("log") + f"SELECT question_id, representation, repetition, responder, write_order, latency_ms, error FROM ({_LAST}) WHERE k = 1 AND (error = '' OR error LIKE 'CONTEXT_EXCEEDED%')",
     "pending_cells": _W("log") + f"SELECT question_id, representation, repetition FROM ({_LAST}) WHERE k = 1 AND error <> '' AND error NOT LIKE 'CONTEXT_EXCEEDED%'",
     "continuity": _W("log") + "SELECT DISTINCT responder AS tag FROM log WHERE responder <> 'm0'",
