@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+
 _XYZ = "struct<x:double,y:double,z:double>"
 HOUSE_SCHEMA = f"rooms array<struct<id:string,roomType:string,floorPolygon:array<{_XYZ}>>>, objects array<struct<id:string,position:{_XYZ},children:array<struct<id:string,position:{_XYZ}>>>>, doors array<struct<room0:string,room1:string>>, walls array<struct<roomId:string,polygon:array<{_XYZ}>,empty:boolean>>"
 _ROOM = ["scene_id", "room_id", "room_ord", "category", "floor", "x", "y", "z", "size", "floor_area", "volume"]
@@ -22,18 +24,28 @@ def _null(kind: str, name: str) -> Column:
 
 
 def read_houses(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """(scene_id, house): gzipped JSON lines; a scene is its file's stem and line number.
+    """(scene_id, house): JSON lines, gzipped or plain; a scene is its file's stem and line number, whatever splits a file is read in.
 
-    A gz file is one task that only counts lines; parsing is spread over partitions.
+    Lines are counted by split first (a row a split), so a line's number is its place in
+    its split after those of the splits before; lines themselves are shuffled only to
+    spread their parsing.
     """
-    lines = spark.read.text(path).withColumn("__f", F.input_file_name())
-    # One gz file is one partition, so its lines keep their order.
-    lines = lines.withColumn("__i", F.monotonically_increasing_id())
-    first = F.min("__i").over(Window.partitionBy("__f"))
-    split = F.regexp_extract("__f", r"([^/]+?)\.jsonl(?:\.gz)?$", 1)
-    rows = lines.withColumn("scene_id", F.concat(split, F.lit(":"), (F.col("__i") - first).cast("string")))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"))
+    splits = lines.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__first"))
+    before = F.sum("n").over(Window.partitionBy("__f").orderBy("__b")) - F.col("n")
+    splits = cut(splits.select("__f", "__b", (before - F.col("__first")).alias("__shift")), "house_splits")
+    rows = lines.join(splits, ["__f", "__b"]).withColumn("scene_id", F.concat(_split_name("__f"), F.lit(":"), (F.col("__i") + F.col("__shift")).cast("string")))
     n = partitions or spark.sparkContext.defaultParallelism
-    return rows.select("scene_id", "value").repartition(n, "scene_id").select("scene_id", F.from_json("value", HOUSE_SCHEMA).alias("house")).where("house IS NOT NULL")
+    return parse_houses(rows.select("scene_id", "value").repartition(n, "scene_id"))
+
+
+def _split_name(path: str) -> Column:
+    return F.url_decode(F.regexp_extract(path, r"([^/]+?)\.jsonl(?:\.gz)?$", 1))
+
+
+def parse_houses(lines: DataFrame) -> DataFrame:
+    """(scene_id, house) of lines (scene_id, value); those that are no records are left out."""
+    return lines.select("scene_id", F.from_json("value", HOUSE_SCHEMA).alias("house")).where("coalesce(size(house.rooms), size(house.objects), size(house.doors), size(house.walls)) >= 0")
 
 
 def normalize_houses(houses: DataFrame) -> dict[str, DataFrame]:
