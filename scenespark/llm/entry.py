@@ -79,8 +79,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Documents whose labels no model sees."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+    """Documents whose labels no model sees; a null id counts as empty, which is not held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

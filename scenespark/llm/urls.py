@@ -16,11 +16,12 @@ from .common import LOWER, UPPER, cut
 from .components import components
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-# An attribute's name stands by itself: data-href is none of these.
-_LINK = r"""(?is)<link\b[^>]*(?<![\w-])rel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"""
-_META = r"""(?is)<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?is)(?<![\w-])href\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)(?<![\w-])content\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'>]+)"""
+_COMMENT = r"(?s)<!--.*?(?:-->|$)"
+# A tag ends at the first > outside of quotes. An attribute's name stands by itself: data-href is none of these.
+_TAG = r"""(?is)<{0}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_VALUE = r"""(?is)(?<![\w-]){0}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+_TARGET = r"""(?is)^[^;,]*[;,]\s*url\s*=\s*["']?\s*([^"']+)"""
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 
 #: (host, path beginning, verdict)
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -34,29 +35,73 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def _key(url: Column) -> Column:
-    """A URL's node: host, path (at least /) and query; scheme and fragment make no difference. Null where there is no host."""
+def _without_dots(p: Column) -> Column:
+    """A path that begins with / without its . and .. segments (RFC 3986, 5.2.4)."""
+    parts = F.split(F.substring(p, 2, 1 << 30), "/", -1)
+    step = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def _scheme(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, _SCHEME, 1))
+
+
+def _site(url: Column) -> Column:
+    """A URL's host without a port that its scheme implies."""
+    default = F.when(_scheme(url) == "https", r":(?:443)?$").otherwise(r":(?:80)?$")
+    return F.regexp_replace(host(url), default, F.lit(""))
+
+
+def _place(url: Column) -> Column:
+    """A URL's path, at least /, without dot segments."""
     p = path(url)
-    return F.when(host(url) != "", F.concat(host(url), F.when(p == "", "/").otherwise(p), F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit(""))))
+    return F.when(p == "", "/").when(p.contains("/."), _without_dots(p)).otherwise(p)
+
+
+def _key(url: Column) -> Column:
+    """A URL's node: host, path (at least /) and query; scheme, its own port and fragment make no difference. Null where there is no host."""
+    return F.when(host(url) != "", F.concat(_site(url), _place(url), F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit(""))))
 
 
 def _absolute(base: Column, to: Column) -> Column:
-    """A link's target; relative ones start from the page's URL."""
+    """A link's target by RFC 3986 (dot segments go in _key); null for schemes without a host, such as mailto."""
     to = F.trim(F.replace(to, F.lit("&amp;"), F.lit("&")))
-    site, folder = F.concat(F.lit("http://"), host(base)), F.regexp_extract(path(base), r"(?s)^(.*/)", 1)
+    scheme = F.coalesce(F.nullif(_scheme(base), F.lit("")), F.lit("http"))
+    site, folder = F.concat(scheme, F.lit("://"), host(base)), F.regexp_extract(path(base), r"(?s)^(.*/)", 1)
     folder = F.when(folder == "", "/").otherwise(folder)
     return (
-        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(site, to)).when(to.startswith("?"), F.concat(site, path(base), to)).otherwise(F.concat(site, folder, to))
+        F.when(to.rlike(_SCHEME + "//"), to).when(to.rlike(_SCHEME), F.lit(None)).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(site, to)).when(to.startswith("?"), F.concat(site, path(base), to))
+        .when(to.startswith("#") | (to == ""), base).otherwise(F.concat(site, folder, to))
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, of either quoting; empty where it is missing."""
+    pattern = _VALUE.replace("{0}", name)
+    return F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, i), F.lit("")) for i in (1, 2, 3)])
+
+
 def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, target) for every canonical link and refresh redirect to another node; a page without url has none."""
-    tags = lambda p, q: F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(0)), lambda t: F.regexp_extract(t, q, 1))
-    found = F.filter(F.concat(tags(_LINK, _HREF), tags(_META, _REFRESH)), lambda t: F.trim(t) != "")
-    rows = pages.where(_key(F.col(url)).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("url"), F.explode(found).alias("to"))
-    rows = rows.select("url", _absolute(F.col("url"), F.col("to")).alias("target"))
+    """(url, target) for every canonical link and refresh redirect to another node; a page without url has none.
+
+    Comments are left out. rel is a list of words, of which one is canonical. Relative
+    targets start from the page's base element, if it has one, else from its url.
+    """
+    tags = lambda name: F.regexp_extract_all("h", F.lit(_TAG.replace("{0}", name)), F.lit(0))
+    words = lambda t: F.split(F.lower(F.trim(_attribute(t, "rel"))), r"\s+")
+    canonical = F.transform(F.filter(tags("link"), lambda t: F.array_contains(words(t), "canonical")), lambda t: _attribute(t, "href"))
+    refresh = F.filter(tags("meta"), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
+    refresh = F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), _TARGET, 1))
+    found = F.filter(F.concat(canonical, refresh), lambda t: F.trim(t) != "")
+    base = F.coalesce(F.get(F.filter(F.transform(tags("base"), lambda t: _attribute(t, "href")), lambda t: F.trim(t) != ""), F.lit(0)), F.lit(""))
+    # Most pages have no such tag at all.
+    rows = pages.where(_key(F.col(url)).isNotNull() & F.col(html).rlike("(?i)<(?:link|meta)")).select(F.col(url).alias("url"), F.regexp_replace(html, _COMMENT, "").alias("h"))
+    rows = rows.select("url", base.alias("base"), F.explode(found).alias("to"))
+    start = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(_absolute(F.col("url"), F.col("base")), F.col("url")))
+    rows = rows.select("url", _absolute(start, F.col("to")).alias("target"))
     return rows.where(_key(F.col("target")).isNotNull() & (_key(F.col("target")) != _key(F.col("url"))))
 
 
@@ -107,7 +152,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list | None = None, url: st
     edges = cut(edges.select("target", _key(F.col("url")).alias("a"), _key(F.col("target")).alias("b"), "url").distinct(), "url_links")
     comp = cut(components(edges, "a", "b"), "url_components")
     ends = edges.select(F.col("a").alias("node"), F.col("url").alias("u")).unionByName(edges.select(F.col("b").alias("node"), F.col("target").alias("u")))
-    ends = ends.select("node", host(F.col("u")).alias("host"), path(F.col("u")).alias("path")).distinct()
+    # A page is ruled by its url as it stands, and each end by its node as well.
+    plain = ends.select("node", host(F.col("u")).alias("host"), path(F.col("u")).alias("path"))
+    ends = plain.unionByName(ends.select("node", _site(F.col("u")).alias("host"), _place(F.col("u")).alias("path"))).distinct()
     said = ends.join(match_rules(ends, rules), ["host", "path"]).join(comp, "node")
     said = said.groupBy("component").agg(F.when(F.bool_or(F.col("verdict") == "allow"), "allow").otherwise("block").alias("spread"))
     spread = comp.join(said, "component").select(F.col("node").alias("__key"), "spread")

@@ -163,8 +163,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     gives an empty manifest. Payloads are shuffled once: what is known of a repeated one
     travels beside it, under the same key. Rows of one id, or without one, lie in several
     ranges where they are many. A payload is held whole by the task that writes it; other
-    columns of pages are not read.
+    columns of pages are not read. A folder whose manifest is there has been written: a
+    call that was stopped after that is finished by resume(), or by calling this again.
     """
+    if _written(pages.sparkSession, folder):
+        return resume(pages.sparkSession, folder)
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.cast("binary").alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
@@ -185,10 +188,21 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url: str
     both = both.repartitionById(max(1, len(bounds)), "range").sortWithinPartitions("range", F.col("page_id").asc_nulls_last(), "kind", "digest", F.col("url").asc_nulls_last())
     # Spark's own commit decides which attempts are in this table; their files, and no others, get final names.
     manifest = both.mapInArrow(_writer(folder, roll_bytes, level), _MANIFEST)
-    manifest.write.parquet(f"{folder}/_manifest")
-    manifest = pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
+    manifest.write.mode("overwrite").parquet(f"{folder}/_manifest")
+    return resume(pages.sparkSession, folder)
+
+
+def _written(spark: SparkSession, folder: str) -> bool:
+    """Whether the manifest is complete; one without its mark is from a call that was stopped while it wrote."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def resume(spark: SparkSession, folder: str) -> DataFrame:
+    """Give the manifest's files their final names and delete what is left over; returns the manifest. Done again, it changes nothing."""
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
     manifest.mapInArrow(_committer(folder), _MANIFEST).count()
-    sweep(pages.sparkSession, folder)
+    sweep(spark, folder)
     return manifest
 
 

@@ -725,3 +725,78 @@ def test_toxicity_sample_is_stratified_and_bounded(spark):
     assert common.below_share(F.lit(0), 1.0) is not None
     hashes = spark.range(100_000).select(common.below_share(F.xxhash64("id"), 1e-3).cast("int").alias("x")).agg(F.sum("x")).first()[0]
     assert 50 < hashes < 160
+
+
+def test_links_by_the_rules(spark):
+    """Comments, rel as words, dot segments, base elements, default ports, quoting, schemes without a host."""
+    page = "http://a.org/x/y/z.html"
+    cases = [
+        ('<!-- <link rel="canonical" href="http://b.org/"> --><p>', None),
+        ('<!-- <link rel="canonical" href="http://b.org/">', None),
+        ('<link rel="alternate canonical-x" href="http://b.org/">', None),
+        ('<link rel="alternate  CANONICAL" href="http://b.org/1">', "http://b.org/1"),
+        ("<link href=http://b.org/2 rel=canonical>", "http://b.org/2"),
+        ('<link title="a > b" rel=\'canonical\' href=\'../w.html\'/>', "a.org/x/w.html"),
+        ('<link rel="canonical" href="./../../../q/./r/../s?t=../u#f">', "a.org/q/s?t=../u"),
+        ('<link rel="canonical" href="..">', "a.org/x/"),
+        ('<base href="/deep/er/"><link rel="canonical" href="k">', "a.org/deep/er/k"),
+        ('<base target="_top"><base href="https://c.org:443/d/"><link rel="canonical" href="//e.org:443/f">', "e.org/f"),
+        ('<link rel="canonical" href="http://a.org:80/x/y/z.html">', None),
+        ('<link rel="canonical" href="https://a.org:80/x/y/z.html">', "a.org:80/x/y/z.html"),
+        ('<link rel="canonical" href="#top">', None),
+        ('<link rel="canonical" href="mailto:me@b.org">', None),
+        ('<link rel="canonical" href="?p=1&amp;q=2">', "a.org/x/y/z.html?p=1&q=2"),
+        ('<meta http-equiv="refresh" content="0; URL=\'http://b.org/3\'">', "b.org/3"),
+        ('<meta content="5;url=g" http-equiv=refresh>', "a.org/x/y/g"),
+        ('<meta http-equiv="refreshing" content="0;url=http://b.org/4"><meta name="refresh" content="0;url=http://b.org/5">', None),
+        ("<links rel=canonical href=http://b.org/6><a data-rel=canonical href=http://b.org/7>", None),
+        (None, None),
+        ("<link " * 3000, None),
+    ]
+    df = spark.createDataFrame([(i, page, h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {}
+    keyed = urls.alias_links(df.withColumn("url", F.concat("url", F.lit("?"), "page_id"))).select("url", urls._key(F.col("target")).alias("k")).collect()
+    for r in keyed:
+        got[int(r["url"].rsplit("?")[-1])] = r["k"]
+    want = {i: w.removeprefix("http://") for i, (_, w) in enumerate(cases) if w}
+    want |= {i: "a.org/x/y/z.html" for i in (10,)}  # with its query the page is another node here
+    want[12] = None
+    assert got == {i: w for i, w in want.items() if w}
+
+
+def test_an_archive_is_finished_after_its_manifest(spark, tmp_path):
+    """A driver lost between manifest and renames: a second call, or resume(), finishes the folder."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "text " * (i + 30)) for i in range(40)], "page_id long, url string, html string")
+    folder = str(tmp_path / "warc")
+    manifest = warc.write_warc(pages, folder, roll_bytes=400).collect()
+    assert len(manifest) > 2
+    for r in manifest[:2]:  # as before these renames
+        (tmp_path / "warc" / r["file"]).rename(tmp_path / "warc" / r["attempt"])
+    (tmp_path / "warc" / "_temporary-lost").write_bytes(b"an attempt that was not committed")
+    assert warc.unverified(spark, folder).count() == 2
+    assert sorted(warc.write_warc(pages, folder).collect()) == sorted(manifest)
+    assert warc.unverified(spark, folder).count() == 0 and not list((tmp_path / "warc").glob("_temporary-*"))
+    assert warc.read_warc(spark, folder).count() == 40 and warc.resume(spark, folder).count() == len(manifest)
+    # Stopped while the manifest was being written: it has no mark, and the folder is written anew.
+    other = tmp_path / "again"
+    (other / "_manifest").mkdir(parents=True)
+    (other / "_manifest" / "part-0.parquet").write_bytes(b"")
+    warc.write_warc(pages, str(other), roll_bytes=400)
+    assert warc.unverified(spark, str(other)).count() == 0 and warc.read_warc(spark, str(other)).count() == 40
+
+
+def test_toxic_terms_are_chosen_apart_and_from_all(spark):
+    """Chosen terms equal the greedy choice over all terms, of which one stem has thousands."""
+    rng = np.random.default_rng(1)
+    say = lambda words: " ".join(words)
+    stems = [f"nastiness{i}x" for i in range(6)]
+    rows = []
+    for i in range(400):
+        y = i % 4 == 0
+        words = [f"plain{rng.integers(0, 50)}" for _ in range(20)] + ([stems[rng.integers(0, 6)], "hateful", f"hatefully{rng.integers(0, 3)}"] if y else [])
+        rows.append((i, say(words), int(y)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    terms = sorted(t for t in model.lexicon if t.startswith((" nast", " hate")))
+    assert terms and all(not a.startswith(b) for a in terms for b in terms if a != b)
+    assert toxicity.score(docs, model).where("predicted = 1").count() == 100
