@@ -554,9 +554,10 @@ def repeated_passages(texts: DataFrame, words: int, k: int = 8) -> DataFrame:
     windows = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"]).mapInArrow(_word_windows(words), "h1 long, h2 long, k1 long, k2 long, s int, e int")
     windows = cut(windows, "passage_windows")
     discard(rows)
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    # Written first, so that the join reads plain shuffles, which Spark splits where a window is in very many texts.
+    twice = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "passage_twice")
     out = cut(windows.join(twice, ["h1", "h2"]).select("k1", "k2", "s", "e"), "passages")
-    discard(windows)
+    discard(windows, twice)
     return out
 
 
