@@ -1,8 +1,8 @@
 """LM scoring: a hashed maximum-entropy model of the next token with a class-factored softmax.
 
 A token's probability is that of its class times that of the token in its class, each a
-softmax over hashed features of the tokens before it: the last one, the ones two and
-three back (skips), and the last two together. Classes of frequent words are clusters of
+softmax over hashed features of the tokens before it: the last one, the one before
+that (a skip), and both together. Classes of frequent words are clusters of
 words with like neighbours, of at most `SIZE` words. Other words share classes by their
 last three bytes, and are told apart there by their counts alone, one added, with one
 event left for all words never seen: so every text has a probability and all of a
@@ -29,21 +29,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import below_share, cut, discard
 
 #: Words with a class and a place in it; words whose counts travel with the model; classes' greatest size; clusters of either kind; endings.
-FREQUENT, DICTIONARY, SIZE, CLUSTERS, RARE, ENDINGS = 4096, 65536, 64, 40, 24, 1024
+FREQUENT, DICTIONARY, SIZE, CLUSTERS, RARE, ENDINGS = 1536, 65536, 64, 16, 16, 1024
 
 #: Words whose neighbourhood tells classes apart; rows of the weight tables; tokens of a gradient step; its size.
-LANDMARKS, HASHES, STEP, RATE = 128, 1 << 14, 2048, 0.15
+LANDMARKS, HASHES, STEP, RATE = 128, 1 << 14, 4096, 0.15
 
-#: Sixteenths of the training texts in each round, and bytes of text of a shard.
-ROUNDS, SHARD = (1, 3, 12), 24 << 20
+#: Sixteenths of the training texts in each round, and tokens of a shard.
+ROUNDS, SHARD = (1, 3, 12), 4 << 20
 
 #: Rows of a weight table that travel together.
 BLOCK = 1024
 
-_FLUSH = 1 << 17
+_FLUSH = 1 << 18
 _BLOCKS = "name int, block int, part int, rows binary, weights binary, sums binary"
 _FACTORS = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint64)
 
@@ -91,6 +91,15 @@ class Words(dict):
         self.missed.append(word)
         return self.size + _ending(word)
 
+    def number(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[list[bytes]]]:
+        """Each text's numbers, and its words that aren't there."""
+        lines, missed = [], []
+        for t in texts:
+            ws, self.missed = tokens(t), []
+            lines.append(np.fromiter(map(self.__getitem__, ws), np.int32, len(ws)))
+            missed.append(self.missed)
+        return lines, missed
+
 
 @dataclass
 class Model:
@@ -108,7 +117,8 @@ class Model:
     rare_sums: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of a class
     class_bias: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     word_bias: np.ndarray = field(default_factory=lambda: np.zeros((0, SIZE), np.float32))
-    tables: list[np.ndarray] = field(default_factory=list)  # class and word weights; the last column is what steps are scaled by
+    tables: list[np.ndarray] = field(default_factory=list)  # class and word weights
+    scales: list[np.ndarray] = field(default_factory=list)  # of each row of both: mean squares of its gradients so far
 
     @property
     def end(self) -> int:
@@ -117,26 +127,24 @@ class Model:
     def base(self, c: np.ndarray | float) -> np.ndarray | float:
         return np.log10((c + 1) / (self.total + self.kinds + 1))
 
-    def encode(self, words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Of all texts in one line: codes (three marks before each text, an end after it), dictionary numbers, each text's length, and its words outside the dictionary."""
-        lines, sizes, missed = [], [], []
-        for t in texts:
-            ws = tokens(t)
-            words.missed = []
-            lines.append(np.fromiter(map(words.__getitem__, ws), np.int32, len(ws)))
-            sizes.append(len(ws) + 1)
-            missed.append(words.missed)
-        numbers, codes = [], []
+    def lay(self, lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All texts in one line: codes (two marks before each text, an end after it), dictionary numbers (-1 for the end), and each text's length."""
+        numbers, codes, end, marks = [], [], np.array([-1], np.int32), np.full(2, self.end + 1, np.int32)
         for line in lines:
-            numbers += [line, np.array([-1], np.int32)]
-            codes += [np.full(3, self.end + 1, np.int32), self.codes[line], np.array([self.end], np.int32)]
-        return np.concatenate(codes), np.concatenate(numbers), np.array(sizes), missed
+            numbers += [line, end]
+            codes += [marks, self.codes[line], end + (self.end + 1)]
+        return np.concatenate(codes), np.concatenate(numbers), np.array([len(x) + 1 for x in lines])
+
+    def encode(self, words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """lay() of texts, and each text's words outside the dictionary."""
+        lines, missed = words.number(texts)
+        return *self.lay(lines), missed
 
     def features(self, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the class table (one column a feature), and the last two codes for rows of the word table."""
-        back = [codes[at - d].astype(np.uint64) for d in (1, 2, 3)]
-        mixed = [b * f for b, f in zip(back, _FACTORS)] + [back[0] * _FACTORS[0] + (back[1] + np.uint64(7)) * _FACTORS[3]]
-        return np.stack([_hash(m + np.uint64(i)) for i, m in enumerate(mixed)], axis=1), np.stack(back[:2], axis=1)
+        """Rows of the class table (a line a feature), and the last two codes, for rows of the word table."""
+        last, skip = (codes[at - d].astype(np.uint64) for d in (1, 2))
+        mixed = [last * _FACTORS[0], skip * _FACTORS[1] + np.uint64(1), last * _FACTORS[2] + (skip + np.uint64(7)) * _FACTORS[3]]
+        return np.stack([_hash(m) for m in mixed]), np.stack((last, skip))
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -146,34 +154,55 @@ def _hash(x: np.ndarray) -> np.ndarray:
 
 def _word_rows(back: np.ndarray, classes: np.ndarray) -> np.ndarray:
     c = classes.astype(np.uint64) * np.uint64(1000003)
-    return np.stack([_hash((back[:, d] * _FACTORS[d] + np.uint64(11 + d)) ^ c) for d in (0, 1)], axis=1)
+    return np.stack([_hash((back[d] * _FACTORS[d] + np.uint64(11 + d)) ^ c) for d in (0, 1)])
 
 
-def _softmax(bias: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probabilities of the targets, and all probabilities."""
-    z = np.take(table, rows[:, 0], axis=0)[:, :-1] + bias
-    for f in range(1, rows.shape[1]):
-        z += np.take(table, rows[:, f], axis=0)[:, :-1]
+def _logits(bias: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = np.take(table, rows[0], axis=0, mode="clip")
+    for more in rows[1:]:
+        z += np.take(table, more, axis=0, mode="clip")
+    z += bias
     z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax(bias: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the targets."""
+    z = _logits(bias, table, rows)
     own = z[np.arange(len(z)), target]
     np.exp(z, out=z)
-    total = z.sum(axis=1, keepdims=True)
-    z /= total
-    return own - np.log(total[:, 0]), z
+    return own - np.log(z.sum(axis=1))
 
 
-def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+def _gradient(bias: np.ndarray, table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of the negative log probabilities by the logits: all probabilities, less one at the target."""
+    z = _logits(bias, table, rows)
+    np.exp(z, out=z)
+    z *= 1 / z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), target] -= 1
+    return z
+
+
+def _step(table: np.ndarray, scale: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
     """One gradient step on the rows that the tokens' features name; each row's steps shrink with its gradients so far."""
-    n, k = rows.shape
-    flat = rows.ravel(order="F")
+    flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
-    flat = flat[order]
+    flat, token = flat[order], order % rows.shape[1]
     heads = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    sums = np.add.reduceat(gradient[order % n], heads, axis=0)
+    times = np.diff(np.concatenate((heads, [len(flat)])))
+    # Rows of a few tokens are summed together, token by token; the few of many each in one run.
+    sums, left = gradient[token[heads]], np.flatnonzero((times > 1) & (times <= 6))
+    for k in range(1, 6):
+        sums[left] += gradient[token[heads[left] + k]]
+        left = left[times[left] > k + 1]
+    often = times > 6
+    if often.any():
+        runs = times[often]
+        sums[often] = np.add.reduceat(gradient[token[np.repeat(often, times)]], np.cumsum(runs) - runs, axis=0)
     at = flat[heads]
-    seen[at] += np.diff(np.concatenate((heads, [n * k])))
-    table[at, -1] += (sums * sums).mean(axis=1)
-    table[at, :-1] -= RATE * sums / np.sqrt(table[at, -1:] + 1e-8)
+    seen[at] += times
+    scale[at] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+    table[at] -= sums * (RATE / np.sqrt(scale[at] + 1e-8))[:, None]
 
 
 class Trainer:
@@ -181,7 +210,7 @@ class Trainer:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.tables = [t.copy() for t in model.tables]
+        self.tables, self.scales = [t.copy() for t in model.tables], [t.copy() for t in model.scales]
         self.seen = [np.zeros(HASHES, np.float32) for _ in self.tables]
 
     def learn(self, codes: np.ndarray) -> None:
@@ -192,20 +221,17 @@ class Trainer:
             target = codes[at]
             rows, back = m.features(codes, at)
             cls = m.classes[target]
-            _, p = _softmax(m.class_bias, self.tables[0], rows, cls)
-            p[np.arange(len(at)), cls] -= 1
-            _step(self.tables[0], self.seen[0], rows, p)
+            _step(self.tables[0], self.scales[0], self.seen[0], rows, _gradient(m.class_bias, self.tables[0], rows, cls))
             known = np.flatnonzero(m.places[target] >= 0)
             if len(known):
                 c, place = cls[known], m.places[target[known]]
-                rows = _word_rows(back[known], c)
-                _, p = _softmax(m.word_bias[c], self.tables[1], rows, place)
-                p[np.arange(len(known)), place] -= 1
-                _step(self.tables[1], self.seen[1], rows, p)
+                rows = _word_rows(back[:, known], c)
+                _step(self.tables[1], self.scales[1], self.seen[1], rows, _gradient(m.word_bias[c], self.tables[1], rows, place))
 
     def changes(self, part: int) -> Iterator[pa.RecordBatch]:
-        for name, (old, new, seen) in enumerate(zip(self.model.tables, self.tables, self.seen)):
-            yield from _blocks(name, part, np.flatnonzero(seen), seen, new - old)
+        for name, seen in enumerate(self.seen):
+            change = [np.column_stack((x.tables[name], x.scales[name])) for x in (self, self.model)]
+            yield from _blocks(name, part, np.flatnonzero(seen), seen, change[0] - change[1])
 
 
 def _blocks(name: int, part: int, rows: np.ndarray, weights: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -259,13 +285,20 @@ def _total(blocks: DataFrame, sizes: list[tuple[int, int]]) -> list[tuple[np.nda
     return out
 
 
-def _over(texts: DataFrame, shard_bytes: int, work, schema: str) -> DataFrame:
-    """work(batches of lists of texts, task number) over texts, in tasks of about a shard each."""
+def _numbered(batch: pa.RecordBatch, part: int = 256) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows of a batch some at a time, with their texts' dictionary numbers."""
+    for i in range(0, len(batch), part):
+        some = batch.slice(i, part)
+        yield some, [np.frombuffer(x.as_buffer(), np.int32) for x in some.column("numbers")]
+
+
+def _over(encoded: DataFrame, size: int, work, schema: str) -> DataFrame:
+    """work(lists of texts' numbers, task number) over encoded texts, in tasks of about a shard each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(([t.as_buffer().to_pybytes() for t in b.column("text")] for b in batches), TaskContext.get().partitionId())
+        yield from work((lines for b in batches for _, lines in _numbered(b)), TaskContext.get().partitionId())
 
-    return texts.select("text").coalesce(max(1, -(-shard_bytes // SHARD))).mapInArrow(run, schema)
+    return encoded.select("numbers").coalesce(max(1, -(-size // SHARD))).mapInArrow(run, schema)
 
 
 def _clusters(vectors: np.ndarray, k: int, passes: int = 12) -> np.ndarray:
@@ -307,59 +340,99 @@ def _with_classes(model: Model, near: np.ndarray, ending_sums: np.ndarray) -> No
     model.word_bias = np.full((first, SIZE), -1e9, np.float32)
     model.word_bias[classes[:k], places[:k]] = np.log((model.counts[:k] + 1) / mass[classes[:k]])
     model.word_bias[0, 0] = 0
-    model.tables = [np.zeros((HASHES, len(mass) + 1), np.float32), np.zeros((HASHES, SIZE + 1), np.float32)]
+    model.tables = [np.zeros((HASHES, width), np.float32) for width in (len(mass), SIZE)]
+    model.scales = [np.zeros(HASHES, np.float32) for _ in model.tables]
+
 
+def dictionary_of(counts: DataFrame, ends: int, frequent: int = FREQUENT, dictionary: int = DICTIONARY) -> Model:
+    """A model without weights: the most frequent words of token_counts(), about `dictionary` at most; ends: how many texts they are from.
 
-def fit(texts: DataFrame, counts: DataFrame, ends: int, frequent: int = FREQUENT, dictionary: int = DICTIONARY) -> Model:
-    """A model of texts (columns text, round: 0 to 15) whose token_counts() are given; ends: how many texts there are, null ones included."""
-    spark = texts.sparkSession
+    A histogram of the counts' logarithms tells from which count on words fit; of those in
+    the strip where it fills up, as many as there is room for are taken by a hash. Only
+    the histogram and the words taken reach the driver.
+    """
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(dictionary).select("word", "c").collect()
+    strip = F.floor(F.log2("c") * 64).cast("int")
+    room, taken = dictionary, F.lit(False)
+    for r in sorted(counts.groupBy(strip.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        taken = strip >= r["s"] if room >= r["count"] else (strip > r["s"]) | ((strip == r["s"]) & below_share(F.xxhash64("word"), room / r["count"]))
+        room -= r["count"]
+        if room <= 0:
+            break
+    top = sorted(counts.where(taken).select("word", "c").collect(), key=lambda r: (-r["c"], r["word"]))
     model = Model([r["word"].encode() for r in top], np.array([r["c"] for r in top], np.int64), total + ends, kinds + (ends > 0), ends, min(frequent, len(top)))
     k = model.frequent
     model.codes = np.concatenate((np.arange(k), k + np.array([_ending(w) for w in model.words[k:]], int), k + np.arange(ENDINGS))).astype(np.int32)
-    sums = np.zeros(ENDINGS)
+    return model
+
+
+def encode(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (column text; others stay) with their texts' numbers (32-bit, as bytes) and their words outside the dictionary in place of the text; written."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.words)
+    keep = [c for c in rows.columns if c != "text"]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value)
+        for b in batches:
+            for i in range(0, len(b), 1024):
+                part = b.slice(i, 1024)
+                lines, missed = words.number([t.as_buffer().to_pybytes() for t in part.column("text")])
+                rare = [list(Counter(w).items()) for w in missed]
+                offsets = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
+                flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()).cast(pa.string()), pa.array([n for r in rare for _, n in r], pa.int32())], names=["word", "n"])
+                columns = [pa.array([x.tobytes() for x in lines], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], names=[*keep, "numbers", "rare"])
+
+    out = rows.select(*keep, "text").mapInArrow(run, f"{schema}, numbers binary, rare array<struct<word:string,n:int>>")
+    return cut(out.withColumn("row", F.monotonically_increasing_id()), "language_encoded")
+
+
+def fit(encoded: DataFrame, counts: DataFrame, model: Model) -> Model:
+    """The model with weights learned from encode()d texts (columns numbers, round: 0 to 15)."""
+    spark = encoded.sparkSession
+    k, sums = model.frequent, np.zeros(ENDINGS)
     for r in counts.groupBy("ending").agg(F.sum(F.col("c") + 1).alias("n")).collect():
         sums[r["ending"]] = r["n"]
     for w, c in zip(model.words[:k], model.counts[:k]):
         sums[_ending(w)] -= c + 1
-    sizes = {r[0]: r[1] for r in texts.groupBy("round").agg(F.sum(F.octet_length("text"))).collect()}
+    sizes = {r[0]: r[1] for r in encoded.groupBy("round").agg(F.sum(F.octet_length("numbers") / 4 + 1).cast("long")).collect()}
     shared = spark.sparkContext.broadcast(model)
 
-    def neighbourhoods(batches: Iterator[list[bytes]], part: int) -> Iterator[pa.RecordBatch]:
+    def neighbourhoods(texts: Iterator[list[np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        words, near = Words(m.words), np.zeros((m.end + 2) * LANDMARKS, np.int64)
-        for b in batches:
-            codes = m.encode(words, b)[0].astype(np.int64)
-            for d in (1, 2):
-                for one, other in ((codes[d:], codes[:-d]), (codes[:-d], codes[d:])):
-                    marks = np.flatnonzero(other < min(LANDMARKS, m.frequent))
-                    near += np.bincount(one[marks] * LANDMARKS + other[marks], minlength=len(near))
+        near = np.zeros((m.end + 2) * LANDMARKS, np.int64)
+        for lines in texts:
+            codes = m.lay(lines)[0].astype(np.int64)
+            at = np.flatnonzero(codes < min(LANDMARKS, m.frequent))  # never a line's first or last
+            for beside in (codes[at - 1], codes[at + 1]):
+                np.add.at(near, beside * LANDMARKS + codes[at], 1)
         near = near.reshape(-1, LANDMARKS)
         rows = np.flatnonzero(near.any(axis=1))
         yield from _blocks(0, part, rows, np.ones(len(near)), near)
 
-    near = _total(_over(texts, sum(sizes.values()), neighbourhoods, _BLOCKS), [(-(-(model.end + 2) // BLOCK) * BLOCK, LANDMARKS)])[0][1]
+    near = _total(_over(encoded, sum(sizes.values()), neighbourhoods, _BLOCKS), [(-(-(model.end + 2) // BLOCK) * BLOCK, LANDMARKS)])[0][1]
     shared.destroy()
     _with_classes(model, near.astype(float), sums)
 
     start = 0
     for share in ROUNDS:
         end = start + share
-        weight = sum(sizes.get(r, 0) for r in range(start, end))
+        size = sum(sizes.get(r, 0) for r in range(start, end))
         shared = spark.sparkContext.broadcast(model)
 
-        def learned(batches: Iterator[list[bytes]], part: int, shared=shared) -> Iterator[pa.RecordBatch]:
+        def learned(texts: Iterator[list[np.ndarray]], part: int, shared=shared) -> Iterator[pa.RecordBatch]:
             trainer = Trainer(shared.value)
-            words = Words(trainer.model.words)
-            for b in batches:
-                for i in range(0, len(b), 256):
-                    trainer.learn(trainer.model.encode(words, b[i : i + 256])[0])
+            for lines in texts:
+                trainer.learn(trainer.model.lay(lines)[0])
             yield from trainer.changes(part)
 
-        mine = texts.where((F.col("round") >= start) & (F.col("round") < end))
-        for table, (seen, change) in zip(model.tables, _total(_over(mine, weight, learned, _BLOCKS), [t.shape for t in model.tables])):
-            table += change / np.maximum(seen, 1)[:, None]
+        mine = encoded.where((F.col("round") >= start) & (F.col("round") < end))
+        summed = _total(_over(mine, size, learned, _BLOCKS), [(HASHES, t.shape[1] + 1) for t in model.tables])
+        for table, scale, (seen, change) in zip(model.tables, model.scales, summed):
+            change /= np.maximum(seen, 1)[:, None]
+            table += change[:, :-1]
+            scale += change[:, -1]
         shared.destroy()
         start = end
     return model
@@ -374,22 +447,21 @@ def log_probabilities(model: Model, codes: np.ndarray) -> np.ndarray:
         target = codes[at]
         rows, back = model.features(codes, at)
         cls = model.classes[target]
-        log = _softmax(model.class_bias, model.tables[0], rows, cls)[0].astype(float)
+        log = _log_softmax(model.class_bias, model.tables[0], rows, cls).astype(float)
         known = model.places[target] >= 0
         k = np.flatnonzero(known)
         if len(k):
-            log[k] += _softmax(model.word_bias[cls[k]], model.tables[1], _word_rows(back[k], cls[k]), model.places[target[k]])[0]
+            log[k] += _log_softmax(model.word_bias[cls[k]], model.tables[1], _word_rows(back[:, k], cls[k]), model.places[target[k]])
         log[~known] -= np.log(model.rare_sums[cls[~known]] + 1)
         out[i : i + STEP] = log
     return out / np.log(10)
 
 
 def _scored(shared):
-    """Of each text: tokens, words known, sums of base and model for what the dictionary holds, and its other words with their counts in the text."""
+    """Of each text: tokens, words known, sums of base and model, as far as the dictionary goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        words = Words(m.words)
         counts = np.concatenate((m.counts, np.zeros(ENDINGS, np.int64), [m.ends]))
         in_dictionary = np.arange(len(counts)) < len(m.words)
         in_dictionary[-1] = True
@@ -398,18 +470,13 @@ def _scored(shared):
         own = np.where(in_dictionary & (np.arange(len(counts)) >= m.frequent), np.log10(counts + 1), 0)
         own[-1] = 0
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.slice(i, 256)
-                codes, numbers, sizes, missed = m.encode(words, [t.as_buffer().to_pybytes() for t in part.column("text")])
+            for part, lines in _numbered(b):
+                codes, numbers, sizes = m.lay(lines)
                 heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 log = log_probabilities(m, codes) + own[numbers]
                 known = in_dictionary[numbers] & (counts[numbers] > 0)
                 sums = [np.add.reduceat(v, heads) for v in (known.astype(np.int64), base[numbers], log)]
-                rare = [list(Counter(w).items()) for w in missed]
-                offsets = np.concatenate(([0], np.cumsum([len(r) for r in rare]))).astype(np.int32)
-                flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()).cast(pa.string()), pa.array([n for r in rare for _, n in r], pa.int32())], names=["word", "n"])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(sizes, pa.int64()), *map(pa.array, sums), lists], names=["id", "held_out", "n_tokens", "n_known", "base", "log", "rare"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "id", "held_out")), pa.array(sizes, pa.int64()), *map(pa.array, sums)], names=["row", "id", "held_out", "n_tokens", "n_known", "base", "log"])
 
     return run
 
@@ -428,16 +495,17 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str =
     spark: SparkSession = docs.sparkSession
     ids = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    train = rows.where("NOT held_out").select("text", F.pmod(F.xxhash64("text"), F.lit(16)).cast("int").alias("round"))
+    train = rows.where("NOT held_out")
     counts = cut(token_counts(train), "language_counts")
-    model = fit(train, counts, train.count())
-    shared = spark.sparkContext.broadcast(model)
-    schema = f"id {ids}, held_out boolean, n_tokens long, n_known long, base double, log double, rare array<struct<word:string,n:int>>"
-    scored = cut(rows.mapInArrow(_scored(shared), schema).withColumn("row", F.monotonically_increasing_id()), "language_scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts.select("word", "c"), "word")
+    model = dictionary_of(counts, train.count())
+    encoded = encode(rows.withColumn("round", F.pmod(F.xxhash64("text"), F.lit(16)).cast("int")), model)
+    shared = spark.sparkContext.broadcast(fit(encoded.where("NOT held_out"), counts, model))
+    schema = f"row long, id {ids}, held_out boolean, n_tokens long, n_known long, base double, log double"
+    scored = encoded.select("row", "id", "held_out", "numbers").mapInArrow(_scored(shared), schema)
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts.select("word", "c"), "word")
     log = F.col("n") * F.log10(F.col("c") + 1)
     seen = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(log).alias("own"))
-    out = scored.drop("rare").join(seen, "row", "left")
+    out = scored.join(seen, "row", "left")
     more = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + more("more")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
