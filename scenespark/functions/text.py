@@ -27,10 +27,10 @@ def json_indented(text: Column) -> Column:
     return indented(text)
 
 
-def lines(df: DataFrame, section: int, text: Column, a: Column | str | int = 0, b: Column | str | int = 0, c: int = 0) -> DataFrame:
+def lines(df: DataFrame, section: int, text: Column, a: Column | str | int = 0, b: Column | str | int = 0, c: Column | str | int = 0) -> DataFrame:
     """Rows of a scene's text: their place is (section, a, b, c)."""
-    at = lambda v: (F.lit(v) if isinstance(v, int) else F.col(v) if isinstance(v, str) else v).cast("int")
-    return df.select("scene_id", F.lit(section).alias("s"), at(a).alias("a"), at(b).alias("b"), F.lit(c).alias("c"), text.alias("line"))
+    at = lambda v: (F.lit(v) if isinstance(v, int) else F.col(v) if isinstance(v, str) else v).cast("long")
+    return df.select("scene_id", F.lit(section).alias("s"), at(a).alias("a"), at(b).alias("b"), at(c).alias("c"), text.alias("line"))
 
 
 def assemble(*parts: DataFrame) -> DataFrame:

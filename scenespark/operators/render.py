@@ -153,7 +153,7 @@ def _by_floor(s: _Scene, section: int, indent_all: bool) -> list[DataFrame]:
     r = r.withColumn("a", F.dense_rank().over(Window.partitionBy("scene_id").orderBy(_c("fl").asc_nulls_last()))).withColumn("b", F.row_number().over(Window.partitionBy("scene_id", "fl").orderBy(F.desc("degree"), id_key("room_id"), F.desc("n_objects"))))
     floors = r.where("fl IS NOT NULL").groupBy("scene_id", "a", "fl").agg(F.count(F.lit(1)).alias("n"))
     indent = F.lit("  ") if indent_all else F.when(_c("fl").isNotNull(), "  ").otherwise("")
-    return [lines(floors, section, _cat("Floor ", _c("fl"), " (", _c("n"), " rooms):"), "a", 0), lines(r, section, _cat(indent, _room_line(True)), "a", "b"), lines(floors, section, F.lit(""), "a", 1_000_000_000)]
+    return [lines(floors, section, _cat("Floor ", _c("fl"), " (", _c("n"), " rooms):"), "a", 0), lines(r, section, _cat(indent, _room_line(True)), "a", 1, "b"), lines(floors, section, F.lit(""), "a", 2)]
 
 
 def _statements(s: _Scene, same: bool) -> DataFrame:
@@ -265,7 +265,7 @@ def room_tree(s: _Scene) -> DataFrame:
     h = s.having(s.head, "adjacency")
     tail = "Connectivity tree: rooms drawn as an indented tree; each room is listed under a room it directly connects to (indentation and branch lines show the connection)."
     return assemble(
-        _clean_head(s, tail), lines(h, 1, F.lit("")), lines(many, 2, _cat("Group ", _c("group"), " (", _c("size"), " rooms):"), "group", 0), lines(rows, 2, _c("row"), "group", b), lines(groups, 2, F.lit(""), "group", 1_000_000_000),
+        _clean_head(s, tail), lines(h, 1, F.lit("")), lines(many, 2, _cat("Group ", _c("group"), " (", _c("size"), " rooms):"), "group", 0), lines(rows, 2, _c("row"), "group", 1, b), lines(groups, 2, F.lit(""), "group", 2),
         lines(loops.select("scene_id").distinct(), 3, F.lit("Additional connections (these close loops, so they are not drawn as branches above):")), lines(loops, 4, _cat("  ", _c("la"), " -- ", _c("lb")), _rank(id_key("a"), id_key("b"))),
     )
 
@@ -294,13 +294,17 @@ def _named(s: _Scene, pairs: DataFrame) -> DataFrame:
     return pairs.join(side("a"), ["scene_id", "a"]).join(side("b"), ["scene_id", "b"])
 
 
+#: Within a floor's lines, the place of its head, its rooms' contents, its note and, from BLOCKS on, its rooms' blocks; ranks are a level of their own.
+HEAD, HELD, NOTE, BLOCKS = range(4)
+
+
 def _blocks(placed: DataFrame, pairs: DataFrame, order: Column, title: Column, item: Column, section: int = 1) -> list[DataFrame]:
     """A title for each room with pairs, its items by rank. order: of rooms within their group."""
     rooms = placed.withColumn("b", order).select("scene_id", "group_ord", _c("room_id").alias("a"), "label", "b")
     pairs = pairs.join(rooms.select("scene_id", "a", "b"), ["scene_id", "a"]) if "b" not in pairs.columns else pairs.withColumnRenamed("b", "other").join(rooms.select("scene_id", "a", "b"), ["scene_id", "a"])
     with_any = rooms.join(pairs.select("scene_id", "a").distinct(), ["scene_id", "a"], "left_semi")
-    place = F.col("b") * 100_000
-    return [lines(with_any, section, title, "group_ord", place + 100), lines(pairs, section, item, "group_ord", place + 100 + F.col("rank"))]
+    place = F.col("b") + BLOCKS
+    return [lines(with_any, section, title, "group_ord", place), lines(pairs, section, item, "group_ord", place, "rank")]
 
 
 def _in_group(*by: Column) -> Column:
@@ -308,7 +312,7 @@ def _in_group(*by: Column) -> Column:
 
 
 def _group_heads(groups: DataFrame, section: int = 1) -> list[DataFrame]:
-    return [lines(groups, section, F.lit(""), "group_ord", 0), lines(groups, section, _c("title"), "group_ord", 1)]
+    return [lines(groups, section, F.lit(""), "group_ord", HEAD, 0), lines(groups, section, _c("title"), "group_ord", HEAD, 1)]
 
 
 def _walkable(s: _Scene, head: Callable[[Column, Column], Column], item: Column, bearing: str, only: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
@@ -318,7 +322,7 @@ def _walkable(s: _Scene, head: Callable[[Column, Column], Column], item: Column,
     pairs = _named(s, only(M.connected_placements(s.rooms, s.t["adjacency"]))).withColumn("bearing", _c(bearing)).withColumn("m", _metres())
     order = _in_group(F.desc("degree"), id_key("room_id"))
     alone = placed.withColumn("b", order).join(pairs.select("scene_id", _c("a").alias("room_id")).distinct(), ["scene_id", "room_id"], "left_anti")
-    lonely = lines(alone, 1, _cat(_c("label"), " — no connected rooms (isolated)."), "group_ord", _c("b") * 100_000 + 100)
+    lonely = lines(alone, 1, _cat(_c("label"), " — no connected rooms (isolated)."), "group_ord", _c("b") + BLOCKS)
     return [_placed_head(s, placed, head), *_group_heads(groups), *_blocks(placed, pairs, order, _cat(_c("label"), " — connected rooms:"), item), lonely]
 
 
@@ -353,10 +357,10 @@ def metric_relations(s: _Scene) -> DataFrame:
     n = placed.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group_ord").alias("g")).join(s.head.select("scene_id", "name"), "scene_id").join(I.room_type_summary(placed), "scene_id").join(s.t["rooms"].groupBy("scene_id").agg((F.count_distinct("floor") >= 2).alias("f")), "scene_id")
     types = F.when(_c("room_types") != "", _cat(" Room types: ", _c("room_types"), ".")).otherwise("")
     head = lines(n, 0, _cat(_c("name"), " — ", _c("n"), " rooms", F.when(_c("f"), _cat(", across ", _c("g"), " floors")).otherwise(""), ".", types))
-    held = lines(placed, 1, _cat(_c("label"), " — contains: ", _c("inventory"), "."), "group_ord", F.lit(1) + _in_group(F.desc("n_objects"), id_key("room_id")))
+    held = lines(placed, 1, _cat(_c("label"), " — contains: ", _c("inventory"), "."), "group_ord", HELD, _in_group(F.desc("n_objects"), id_key("room_id")))
     several = groups.where("n >= 2").join(M.exhaustive_flag(s.rooms), "scene_id")
     note = F.when(_c("exhaustive"), "Spatial relations grouped by room (all neighbours, nearest first):").otherwise(f"Spatial relations grouped by room (each room's {M.NEAREST} nearest neighbours, nearest first):")
-    return assemble(head, *_group_heads(groups), held, lines(several, 1, F.lit(""), "group_ord", 99_998), lines(several, 1, note, "group_ord", 99_999), *_nearest(s, placed, _cat(_c("label"), ":"), 1))
+    return assemble(head, *_group_heads(groups), held, lines(several, 1, F.lit(""), "group_ord", NOTE, 0), lines(several, 1, note, "group_ord", NOTE, 1), *_nearest(s, placed, _cat(_c("label"), ":"), 1))
 
 
 # ---- object relations -------------------------------------------------------------
@@ -416,7 +420,7 @@ def relations_tree(s: _Scene) -> DataFrame:
     parts = F.concat_ws(", ", *[F.when(_c(k) > 0, _cat(_c(k), f" {v}")) for k, v in names.items()])
     head = _cat(_c("name"), " -- support / containment structure drawn as an indented tree. Each object is listed under the one it sits on or is fixed to, and the parenthesised relation says how it attaches to that object above it -- e.g. 'wall [2] (attached to)' under 'floor [1]' means wall [2] is attached to floor [1].")
     return assemble(
-        lines(h, 0, head), lines(h, 1, F.lit("")), lines(bare, 2, F.lit("No support or containment relations to draw in this scene.")), lines(rows, 2, _c("row"), "a", "b"), lines(a, 2, F.lit(""), "a", 1_000_000_000),
+        lines(h, 0, head), lines(h, 1, F.lit("")), lines(bare, 2, F.lit("No support or containment relations to draw in this scene.")), lines(rows, 2, _c("row"), "a", 0, "b"), lines(a, 2, F.lit(""), "a", 1),
         lines(linked, 3, F.lit("Additional support links not drawn (a second base for an object, or one that would close a loop):")), lines(links, 4, _cat("  ", _c("label"), " is also ", _c("predicate"), " ", _c("shown")), _rank(id_key("child"), _c("predicate"))), lines(linked, 5, F.lit("")),
         lines(census, 6, F.when(parts != "", _cat("Relations not shown in this support view: ", parts, "."))),
     )
@@ -497,7 +501,7 @@ def synthesis(s: _Scene) -> DataFrame:
     joined, related = s.having(h, "adjacency"), s.having(h, "relations")
     placed, groups = _floors(s)
     some = groups.where("n >= 2").select("scene_id").distinct()
-    metric = [lines(some, 7, F.lit("")), lines(some, 7, F.lit(f"Salient metric relations (each room's {M.NEAREST} nearest neighbours, nearest first):"), 0, 1), lines(groups.where("n >= 2"), 7, _c("title"), "group_ord", 1), *_nearest(s, placed, _cat(_c("label"), ":"), 7)]
+    metric = [lines(some, 7, F.lit("")), lines(some, 7, F.lit(f"Salient metric relations (each room's {M.NEAREST} nearest neighbours, nearest first):"), 0, 1), lines(groups.where("n >= 2"), 7, _c("title"), "group_ord", HEAD, 1), *_nearest(s, placed, _cat(_c("label"), ":"), 7)]
     derived = F.lit("Derived object-relation structure (support depth, receptacles, proximity clusters, shared attributes, relation census):")
     return assemble(
         *_prose_head(h, True), lines(joined, 3, F.lit("")), lines(joined, 3, F.lit("Connectivity (derived from the room connection graph; no metric data):"), 1), *_digest(s, 4),
@@ -524,21 +528,35 @@ def render(tables: Tables, *reps: str) -> DataFrame:
 def render_with(tables: Tables, fn: Callable[[dict], str | None], columns: dict[str, list[str]] | None = None) -> DataFrame:
     """(scene_id, text) by a function of one's own: it gets a scene's tables as lists of rows, None for not applicable.
 
-    A scene's rows are gathered in one place: for scenes of a size that a text can hold.
+    All tables are one stream of rows, partitioned by scene and ordered by table and place,
+    through a table function that holds one scene at a time: one shuffle, no joins. A
+    scene's rows are gathered there, so scenes must be of a size that a text can hold.
     """
-    import pandas as pd
-
-    gathered = tables["scenes"].select("scene_id")
     names = [n for n in ("rooms", "objects", "adjacency", "relations") if n in tables]
-    for n in names:
+    places = {"rooms": "room_ord", "objects": "obj_ord", "adjacency": "nbr_ord", "relations": "rel_ord"}
+    stream = tables["scenes"].select("scene_id", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("row"))
+    for i, n in enumerate(names):
         own = [c for c in (columns or {}).get(n, tables[n].columns) if c != "scene_id"]
-        gathered = gathered.join(tables[n].groupBy("scene_id").agg(F.to_json(F.collect_list(F.struct(*own))).alias(n)), "scene_id", "left")
+        place = F.col(places[n]).cast("long") if places[n] in tables[n].columns else F.lit(0).cast("long")
+        stream = stream.unionByName(tables[n].select("scene_id", F.lit(i).alias("t"), place.alias("place"), F.to_json(F.struct(*own)).alias("row")))
+
+    class Render:
+        def __init__(self):
+            self.scene, self.known, self.rows = None, False, {n: [] for n in names}
+
+        def eval(self, row):
+            import json
 
-    def one(batches):
-        import json
+            self.scene = row["scene_id"]
+            if row["t"] < 0:
+                self.known = True
+            else:
+                self.rows[names[row["t"]]].append(json.loads(row["row"]))
 
-        for df in batches:
-            rows = [(r["scene_id"], fn({n: json.loads(r[n]) if r[n] else [] for n in names})) for r in df.to_dict("records")]
-            yield pd.DataFrame([r for r in rows if r[1] is not None], columns=["scene_id", "text"])
+        def terminate(self):
+            text = fn(self.rows) if self.known else None
+            if text is not None:
+                yield self.scene, text
 
-    return gathered.mapInPandas(one, "scene_id string, text string")
+    table = F.udtf(Render, returnType="scene_id string, text string")
+    return table(stream.asTable().partitionBy("scene_id").orderBy("t", "place"))
