@@ -99,6 +99,28 @@ FROM lineitem l JOIN objects s ON CAST(l.l_orderkey AS STRING) = s.object_id
      JOIN objects o ON o.scene_id = s.scene_id AND o.obj_ord = (s.obj_ord * 5 + l.l_partkey) % c.n
 """
 
+#: Parts of raw houses. An order is an object of its customer's room, with an id in one of the forms of such records, some of them without a room; each third one has a child.
+HOUSE_OBJECTS = """
+SELECT scene_id, room_id, obj_ord AS ord, k, cat, CASE WHEN k % 11 = 0 THEN 'bad' WHEN k % 13 = 0 THEN concat(cat, '|unknown|', CAST(k AS STRING)) WHEN k % 5 = 0 THEN concat(cat, '|surface|', room_id, '|', CAST(k AS STRING))
+            WHEN k % 5 = 1 THEN concat(cat, '|', room_id, '|', CAST(k % 2 AS STRING), '|', CAST(k AS STRING)) ELSE concat(cat, '|', room_id, '|', CAST(k AS STRING)) END AS id,
+       CASE WHEN k % 3 = 0 THEN concat('Cup|surface|', room_id, '|c', CAST(k AS STRING)) END AS kid
+FROM (SELECT scene_id, room_id, obj_ord, CAST(object_id AS BIGINT) AS k, coalesce(category, 'Box') AS cat FROM objects) o
+"""
+
+#: Doors from a room to the next, some twice, some into the room itself or nowhere.
+HOUSE_DOORS = """
+SELECT scene_id, room_ord * 4 + j AS ord, CASE j WHEN 1 THEN b ELSE a END AS a, CASE j WHEN 0 THEN b WHEN 1 THEN a WHEN 2 THEN a ELSE 'unknown' END AS b
+FROM (SELECT scene_id, room_ord, room_id AS a, lead(room_id) OVER (PARTITION BY scene_id ORDER BY room_ord) AS b FROM rooms) r CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) s
+WHERE b IS NOT NULL AND (j = 0 AND room_ord % 3 <> 2 OR j = 1 AND room_ord % 5 = 0 AND room_ord % 3 <> 2 OR j = 2 AND room_ord % 7 = 0 OR j = 3 AND room_ord % 11 = 0)
+"""
+
+#: Walls that a room without a door shares with the next, open or not, and outer ones.
+HOUSE_WALLS = """
+SELECT scene_id, room_ord * 4 + j AS ord, CASE j WHEN 1 THEN b ELSE a END AS room, CASE j WHEN 2 THEN -1 - room_ord ELSE room_ord END AS place, j, room_ord % 2 = 0 AS empty
+FROM (SELECT scene_id, room_ord, room_id AS a, lead(room_id) OVER (PARTITION BY scene_id ORDER BY room_ord) AS b FROM rooms) r CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) s
+WHERE b IS NOT NULL AND (j < 2 AND room_ord % 3 = 2 OR j = 2 AND room_ord % 4 = 0)
+"""
+
 #: Judge texts from conversations: numbered lines with verdicts, some in thought.
 JUDGED = """
 SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN concat('<think>', substring(text, 1, 40), '</think>  ', substring(text, 41)) WHEN conv_id % 3 = 1 THEN concat(substring(text, 1, 50), '<think>', substring(text, 51)) ELSE concat('  ', text) END AS text
@@ -114,7 +136,8 @@ FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY tur
 
 _SHAPES = {
     "results": (RESULTS, []), "coverage_results": (COVERAGE, []), "pairs": (PAIRS, ["results"]), "log": (LOG, []), "questions": (QUESTIONS, []), "rooms": (ROOMS, []),
-    "adjacency": (ADJACENCY, ["rooms"]), "objects": (OBJECTS, ["rooms"]), "relations": (RELATIONS, ["rooms", "objects"]), "judged": (JUDGED, []), "rubrics": (RUBRICS, []),
+    "adjacency": (ADJACENCY, ["rooms"]), "objects": (OBJECTS, ["rooms"]), "relations": (RELATIONS, ["rooms", "objects"]), "house_objects": (HOUSE_OBJECTS, ["objects"]), "house_doors": (HOUSE_DOORS, ["rooms"]), "house_walls": (HOUSE_WALLS, ["rooms"]),
+    "judged": (JUDGED, []), "rubrics": (RUBRICS, []),
 }
 
 
