@@ -313,9 +313,14 @@ def graph(s):
 def graph_digest(s):
     if not s.connected:
         return None
+    n = sum(map(len, s.links.values())) // 2
+    head = f"{s.name} — {len(s.rooms)} rooms, {n} room connections (doorways or open passages). Connectivity digest (derived from the room connection graph; no metric data)."
+    return finish([head, "", *digest(s)])
+
+
+def digest(s):
     near, rooms, parts, shown, routes = graph(s)
-    n = sum(map(len, near.values())) // 2
-    out = [f"{s.name} — {len(rooms)} rooms, {n} room connections (doorways or open passages). Connectivity digest (derived from the room connection graph; no metric data).", ""]
+    out = []
     groups = sorted(parts(), key=lambda g: (-len(g[1]), key(g[0])))
     out += ["Reachability: every room is reachable from every other (one connected group)." if len(groups) == 1 else f"Reachability: the rooms split into {len(groups)} separate groups — you cannot walk from one group to another.", ""]
     out += [f"Group {i} (1 room): {shown(g)} — isolated, no connections." if len(g) == 1 else f"Group {i} ({len(g)} rooms): {shown(g)}" for i, (_, g) in enumerate(groups, 1)]
@@ -330,7 +335,195 @@ def graph_digest(s):
             cuts.append(f"  {s.label(r)} — without it these become mutually unreachable: " + "  |  ".join("{" + shown(g) + "}" for _, g in beside))
     out += ["Bottlenecks (removing the room cuts its group apart):", *cuts] if cuts else ["Bottlenecks: none — no single room is a sole connector."]
     out += ["", *(["Distance between rooms (connections to cross; only multi-step pairs):"] if routes else [])]
-    return finish([*out, *("  " + " -> ".join(s.label(rooms[i]) for i in p) for *_, p in routes)])
+    return [*out, *("  " + " -> ".join(s.label(rooms[i]) for i in p) for *_, p in routes)]
+
+
+def branches(children, top, text, before="", lead=""):
+    """A tree's lines, each child under its parent."""
+    out = [before + lead + text(top)]
+    inner = before + {"": "", "|-- ": "|   ", "`-- ": "    "}[lead]
+    for i, child in enumerate(children.get(top, [])):
+        out += branches(children, child, text, inner, "`-- " if i == len(children[top]) - 1 else "|-- ")
+    return out
+
+
+def room_tree(s):
+    if not s.connected:
+        return None
+    near, rooms, parts, _, _ = graph(s)
+    n = sum(map(len, near.values())) // 2
+    out = [f"{s.name} — {len(rooms)} rooms, {n} room connections (doorways or open passages). Connectivity tree: rooms drawn as an indented tree; each room is listed under a room it directly connects to (indentation and branch lines show the connection).", ""]
+    groups, drawn = sorted((sorted(g, key=key) for _, g in parts()), key=lambda g: (-len(g), key(g[0]))), set()
+
+    def far(a):
+        reach, front, steps = {a}, {a}, 0
+        while front := {y for x in front for y in near[x]} - reach:
+            reach |= front
+            steps += 1
+        return steps
+
+    for i, group in enumerate(groups, 1):
+        out += [f"Group {i} ({len(group)} rooms):"] if len(groups) > 1 else []
+        centre = min(group, key=lambda a: (far(a), -len(near[a]), key(a)))
+        children, todo, reached = {}, [centre], {centre}
+        while todo:
+            a = todo.pop(0)
+            for b in near[a]:
+                if b not in reached:
+                    reached.add(b)
+                    children.setdefault(a, []).append(b)
+                    todo.append(b)
+                    drawn |= {(a, b), (b, a)}
+        out += [*branches(children, centre, lambda a: s.label(rooms[a]) + "  (isolated, no connections)" * (len(group) == 1)), ""]  # noqa: B023
+    loops = sorted(((a, b) for a in near for b in near[a] if key(a) < key(b) and (a, b) not in drawn), key=lambda x: [key(i) for i in x])
+    if loops:
+        out += ["Additional connections (these close loops, so they are not drawn as branches above):", *(f"  {s.label(rooms[a])} -- {s.label(rooms[b])}" for a, b in loops)]
+    return finish(out)
+
+
+def forest(s):
+    """child -> (parent, predicate), and the links beside it."""
+    edges = {}
+    for a, p, b in s.relations:
+        if p in SUPPORT and a != b:
+            edges[a, b] = min(p, edges.get((a, b), p))
+    up = {a: min((b for x, b in edges if x == a), key=key) for a, _ in edges}
+    cut = set()
+    for a in up:
+        walk = [a]
+        while walk[-1] in up and up[walk[-1]] not in walk:
+            walk.append(up[walk[-1]])
+        if walk[-1] in up and min(walk, key=key) == a:
+            cut.add(a)
+    tree = {a: (b, edges[a, b]) for a, b in up.items() if a not in cut}
+    return tree, [(a, p, b) for (a, b), p in edges.items() if tree.get(a, (None,))[0] != b]
+
+
+def census(s, names):
+    kinds = Counter(["support", "proximity", "directional", "other", "attribute"][order(p)] for _, p, _ in s.relations)
+    return ", ".join(f"{kinds[k]} {text}" for k, text in names if kinds[k])
+
+
+def relations_tree(s):
+    if not s.relations:
+        return None
+    tree, beside = forest(s)
+    children = {}
+    for a in sorted(tree, key=key):
+        children.setdefault(tree[a][0], []).append(a)
+    out = [f"{s.name} -- support / containment structure drawn as an indented tree. Each object is listed under the one it sits on or is fixed to, and the parenthesised relation says how it attaches to that object above it -- e.g. 'wall [2] (attached to)' under 'floor [1]' means wall [2] is attached to floor [1].", ""]
+    out += [] if tree else ["No support or containment relations to draw in this scene."]
+    for top in sorted((a for a in children if a not in tree), key=key):
+        out += [*branches(children, top, lambda a: s.thing(a) + (f" ({tree[a][1]})" if a in tree else "")), ""]
+    if beside:
+        out.append("Additional support links not drawn (a second base for an object, or one that would close a loop):")
+        for a, p in sorted({(a, p) for a, p, _ in beside}, key=lambda x: (key(x[0]), x[1])):
+            out.append(f"  {s.thing(a)} is also {p} " + ", ".join(s.thing(b) for x, q, b in sorted(beside, key=lambda x: key(x[2])) if (x, q) == (a, p)))
+        out.append("")
+    rest = census(s, [("proximity", "proximity (close by / next to)"), ("directional", "directional (left / right / front / behind)"), ("attribute", "comparative / shared-attribute (same ... / ... than)"), ("other", "other")])
+    return finish([*out, *([f"Relations not shown in this support view: {rest}."] if rest else [])])
+
+
+def facts(s):
+    """The digest of a scene's relations."""
+    tree, _ = forest(s)
+    holders = Counter(b for b, _ in tree.values())
+    chains = []
+    for a in tree:
+        if a not in holders:
+            chain = [a]
+            while chain[-1] in tree:
+                chain.append(tree[chain[-1]][0])
+            chains.append(chain)
+    chains.sort(key=lambda c: (-len(c), key(c[0])))
+    deep = [c for c in chains if len(c) > 2][:8]
+    out = ["No support or containment relations in this scene."] if not tree else ["Support: every item sits directly on its base (nothing stacked deeper)."] if not deep else [f"Deepest support nesting: {len(deep[0]) - 1} levels.", "Support chains (deepest first):"]
+    out += ["  " + " ".join(s.thing(a) + (f" ({tree[a][1]})" if a in tree else "") for a in c) for c in deep] + [""]
+    if tree:
+        top = sorted(holders, key=lambda b: (-holders[b], key(b)))[:5]
+        out += ["Main receptacles (carry the most objects): " + ", ".join(f"{s.thing(b)} ({holders[b]} object{'s' * (holders[b] != 1)})" for b in top) + ".", ""]
+    near = [(a, b) for a, p, b in s.relations if p in PROXIMITY]
+    if near:
+        found = clusters(near)
+        out += [f"Proximity clusters ({len(found)} group{'s' * (len(found) != 1)} of objects near each other):", *("  {" + ", ".join(map(s.thing, g)) + "}" for g in found[:8]), ""]
+    alike = sorted({p for _, p, _ in s.relations if p.startswith("same ")})
+    if alike:
+        out.append("Shared attributes (each group lists items sharing that property):")
+        out += [f"  {p}: " + ", ".join(map(s.thing, g)) for p in alike for g in clusters([(a, b) for a, q, b in s.relations if q == p])] + [""]
+    return [*out, "Relation census: " + census(s, [("support", "support/containment"), ("proximity", "proximity"), ("directional", "directional"), ("attribute", "comparative/shared-attribute"), ("other", "other")]) + "."]
+
+
+def relations_digest(s):
+    if not s.relations:
+        return None
+    return finish([f"{s.name} -- object-relation digest (derived from {len(s.relations)} relations; facts pre-computed, not the raw edge list).", "", *facts(s)])
+
+
+def opening(s):
+    floors, n = len({r["floor"] for r in s.rooms if r["floor"]}), sum(map(len, s.links.values())) // 2
+    one = f"{s.name} is a single {s.rooms[0]['category'] or 'room'} containing {len(s.objects)} objects."
+    many = f"{s.name} contains {len(s.rooms)} rooms{f' across {floors} floor' + 's' * (floors != 1) if floors else ''} and {len(s.objects)} objects."
+    out = [one if len(s.rooms) == 1 else many] + ([f"Room types: {s.types(s.rooms)}."] if s.types(s.rooms) else [])
+    return out + ([f"Rooms are connected by {n} room connection{'s' * (n != 1)} (doorways or open passages)."] if n else [])
+
+
+def described(s, loose):
+    def line(r):
+        near = s.by_degree([x for x in s.rooms if x["id"] in s.links.get(r["id"], [])])
+        n = len(s.held(r))
+        return s.label(r) + ("; connects to " + ", ".join(map(s.label, near)) if near else "") + f"; contains {n} object{'s' * (n != 1)}: {s.contents(r)}."
+
+    floors, out = sorted({r["floor"] for r in s.rooms if r["floor"]}), []
+    if len(floors) < 2:
+        return [loose + line(r) for r in s.by_degree(s.rooms)]
+    for f in floors:
+        here = s.by_degree([r for r in s.rooms if r["floor"] == f])
+        out += [f"Floor {f} ({len(here)} rooms):", *("  " + line(r) for r in here), ""]
+    return out + [loose + line(r) for r in s.by_degree([r for r in s.rooms if not r["floor"]])]
+
+
+def stated(s, shared):
+    own = [(a, p, b) for a, p, b in s.relations if not p.startswith("same ")]
+    out = []
+    for r in s.by_degree(s.rooms):
+        rows = []
+        for subject in {a for a, _, _ in own} & {o["id"] for o in s.held(r)}:
+            mine, said = [(p, b) for a, p, b in own if a == subject], []
+            for p in sorted({p for p, _ in mine}, key=lambda p: (attribute(p), p)):
+                to = [s.thing(b) for q, b in mine if q == p]
+                said.append(f"{p} {', '.join(to[:3] if attribute(p) else to)}" + (f" (+{len(to) - 3} more)" if attribute(p) and len(to) > 3 else ""))
+            rows.append((-sum(not attribute(p) for p, _ in mine), -len(mine), key(subject), f"  {s.thing(subject)} is {'; '.join(said)}."))
+        out += [f"{s.label(r)}:", *(t for *_, t in sorted(rows))] if rows else []
+    if not out:
+        return []
+    alike = []
+    for p in sorted({p for _, p, _ in s.relations if p.startswith("same ")}) if shared else []:
+        for g in sorted(clusters([(a, b) for a, q, b in s.relations if q == p]), key=lambda g: key(g[0])):
+            alike.append(f"  Same {p[5:]}: {', '.join(map(s.thing, g))}.")
+    return ["", "Spatial relations by room:", *out] + (["", "  Shared attributes (each line lists items sharing that property):", *alike] if alike else [])
+
+
+def prose(s):
+    return finish([*opening(s), "", *described(s, ""), *stated(s, True)])
+
+
+def synthesis(s):
+    out = opening(s)
+    if s.connected:
+        out += ["", "Connectivity (derived from the room connection graph; no metric data):", *digest(s)]
+    out += ["", "Rooms:", *described(s, "  ")]
+    groups = s.groups() if len(s.placed) > 1 else []
+    if any(len(rooms) > 1 for _, rooms, _ in groups):
+        out += ["", "Salient metric relations (each room's 4 nearest neighbours, nearest first):"]
+        for f, rooms, axes in groups:
+            if len(rooms) > 1:
+                out += [f"{'Floor ' + f if f else 'Unassigned floor'} ({len(rooms)} rooms):"] if len(groups) > 1 else []
+                for r in sorted(rooms, key=lambda r: key(r["id"])):
+                    out += [f"{s.label(r)}:", *(seen(s, r, x, axes) for x in nearest(s, r, rooms, axes))]
+    out += stated(s, False)
+    if s.relations:
+        out += ["", "Derived object-relation structure (support depth, receptacles, proximity clusters, shared attributes, relation census):", *facts(s)]
+    return finish(out)
 
 
 @pytest.fixture(scope="module")
@@ -352,7 +545,7 @@ def texts(spark, scenes):
     return lambda rep: {r["scene_id"]: r["text"] for r in V.RENDERERS[rep](shared).collect()}
 
 
-PLAIN = [narrative, topology_metric, navigation, metric_framing, metric_relations, relations_subject, relations_predicate, graph_digest]
+PLAIN = [narrative, topology_metric, navigation, metric_framing, metric_relations, relations_subject, relations_predicate, graph_digest, room_tree, relations_tree, relations_digest, prose, synthesis]
 
 
 @pytest.mark.parametrize("plain", PLAIN, ids=lambda f: f.__name__)
