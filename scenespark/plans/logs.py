@@ -62,6 +62,25 @@ def _guard(s: SparkSession, d: str) -> DataFrame:
     return _documents(s, d).select("doc_id", L.context_guard(exact, F.length("text"), _WINDOW).alias("error"))
 
 
+def _reported(s: SparkSession, d: str) -> DataFrame:
+    """Documents as responses whose reported tokens are a quarter of their characters; each third one has no prediction, some are off by one, some failed."""
+    n = F.floor(F.col("n_chars") / 4)
+    rows = _documents(s, d).select("doc_id", n.alias("prompt_tokens"), F.when(F.col("doc_id") % 3 != 0, n + F.col("doc_id") % 2).alias("predicted_tokens"), F.when(F.col("doc_id") % 7 == 0, "timeout").otherwise("").alias("error"))
+    return L.post_call_guard(rows, _WINDOW).select("doc_id", "error", "drift")
+
+
+def _counted(s: SparkSession, d: str) -> DataFrame:
+    """Characters, as a tokenizer's tokens, of every document in its model family's wrapper."""
+    model = F.element_at(F.array(*[F.lit(m) for m in ("llama3", "qwen2.5", "gemma", "unheard-of")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = _documents(s, d).select("doc_id", L.chat_prompt(F.col("text"), model).alias("prompt"))
+    return L.count_tokens(rows, lambda: lambda texts: [len(t) for t in texts], "prompt").select("doc_id", "predicted_tokens")
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    results = shape(s, d, "results")
+    return L.plan_runs(results.select("model").distinct(), results.select("scene_id").distinct(), only_models=["A", "R"])
+
+
 def _prompts(s: SparkSession, d: str) -> DataFrame:
     text = L.build_prompt("Context: {context}\nQuestion: {question}", "text", "source")
     return _documents(s, d).select("doc_id", F.length(text).alias("n"), F.md5(text).alias("md5"))
@@ -103,6 +122,10 @@ QUERIES = {
     "latest_responses": lambda s, d: L.latest_responses(_log(s, d)),
     "stream_state": lambda s, d: _merged(s, d, False),
     "stream_coverage": lambda s, d: _merged(s, d, True),
+    "post_call_guard": _reported,
+    "count_tokens": _counted,
+    "plan_runs": _runs,
+    "select_types": lambda s, d: Q.select_types(_questions(s, d), ["connectivity", "route", "unheard_of"]).select("scene_id", "id", "question_type"),
     "compact_log": lambda s, d: L.compact_log(_log(s, d)),
     "pending_cells": _pending,
     "continuity": lambda s, d: L.continuity_violations(_log(s, d), "responder", "m0"),
@@ -141,6 +164,10 @@ ORACLES = {
     "latest_responses": _W("log") + f"SELECT question_id, representation, repetition, responder, write_order, latency_ms, error FROM ({_LAST}) WHERE k = 1",
     "stream_state": _W("log") + f"SELECT question_id, concat('procthor_', responder) AS scene_id, representation, repetition, responder, CASE WHEN error = '' THEN latency_ms END AS answer_correctness, error, write_order FROM ({_LAST}) WHERE k = 1",
     "stream_coverage": _W("log") + f"SELECT 'procthor' AS host, representation AS rep, responder AS qt, count(*) AS n, count_if(error <> '' AND error NOT LIKE 'CONTEXT_EXCEEDED%') AS error_count, count_if(error LIKE 'CONTEXT_EXCEEDED%') AS context_exceeded, count_if(error = '') AS n_scored FROM ({_LAST}) WHERE k = 1 GROUP BY ALL",
+    "post_call_guard": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'timeout' WHEN n_chars // 4 > 344 THEN concat('CONTEXT_EXCEEDED: ', n_chars // 4, ' tokens of 344') ELSE '' END AS error, doc_id % 3 <> 0 AND doc_id % 2 = 1 AS drift FROM documents""",
+    "count_tokens": f"""SELECT doc_id, length(text) + 1 + CASE doc_id % 4 {' '.join(f"WHEN {i} THEN {sum(map(len, L.CHAT_TEMPLATES[m]))}" for i, m in enumerate(("llama", "qwen", "gemma")))} END AS predicted_tokens FROM documents""",
+    "plan_runs": _W("results") + "SELECT model, scene_id FROM (SELECT DISTINCT model FROM results WHERE model IN ('A', 'R')) CROSS JOIN (SELECT DISTINCT scene_id FROM results)",
+    "select_types": _W("questions") + "SELECT scene_id, id, question_type FROM questions WHERE question_type IN ('connectivity', 'route', 'unheard_of')",
     "compact_log": _W("log") + f"SELECT question_id, representation, repetition, responder, write_order, latency_ms, error FROM ({_LAST}) WHERE k = 1 AND (error = '' OR error LIKE 'CONTEXT_EXCEEDED%')",
     "pending_cells": _W("log") + f"SELECT question_id, representation, repetition FROM ({_LAST}) WHERE k = 1 AND error <> '' AND error NOT LIKE 'CONTEXT_EXCEEDED%'",
     "continuity": _W("log") + "SELECT DISTINCT responder AS tag FROM log WHERE responder <> 'm0'",

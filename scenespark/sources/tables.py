@@ -64,7 +64,7 @@ def append_responses(responses: DataFrame, path: str) -> None:
 
 def write_aggregate(groups: DataFrame, total: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The 14-column aggregate of one run: sorted groups, then the operational total. Both are a few hundred rows."""
-    f4 = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit(""))
+    f4 = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.4f", F.col(c))).otherwise("")
     span = F.when(F.col("ac_lo").isNotNull(), F.concat(f4("ac_lo"), F.lit(".."), f4("ac_hi"))).otherwise("")
     counts = ["n", "error_count", "context_exceeded", "n_scored"]
     named = [F.col(a).alias(b) for a, b in (("host", "dataset"), ("rep", "representation"), ("qt", "question_type"))]
