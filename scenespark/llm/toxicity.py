@@ -146,8 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     so rare labels are learned from and scores keep to the true rates. An id with several
     labels is toxic if any says so; rows with a null id or label are left out; equal texts
     count once, whole texts are read. A term must gain `least_gain` in log-likelihood ratio,
-    less where there are under 200 toxic texts (down to two fifths of it at 80), and no
-    chosen term begins or continues another; the best max_terms of all are taken. Without toxic or other rows, and for empty tables,
+    and no chosen term begins or continues another; the best max_terms of all are taken. Without toxic or other rows, and for empty tables,
     the seeds are the lexicon and the coefficients are fixed ones. Ties between terms go
     to the longer one, then by code point, so a second run learns the same model.
     """
@@ -172,8 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     t, o, p = F.col("t"), F.col("o"), (F.col("t") + F.col("o")) / (nt + no)
     gain = 2 * (t * F.log(t / (nt * p)) + F.when(o > 0, o * F.log(o / (no * p))).otherwise(0.0))
     weight = F.log((t + 0.5) / (nt + 1)) - F.log((o + 0.5) / (no + 1))
-    enough = least_gain * min(1.0, max(0.4, nt / 200))
-    scored = terms.where((t >= 3) & (weight >= least_weight) & (gain >= enough))
+    scored = terms.where((t >= 3) & (weight >= least_weight) & (gain >= least_gain))
     scored = scored.select(F.left("term", F.lit(5)).alias("head"), "term", F.round(gain, 6).alias("gain"), F.length("term").alias("size"), F.least(weight, F.lit(8.0)).alias("weight"))
     apart = scored.repartition("head").sortWithinPartitions("head", F.desc("gain"), F.desc("size"), "term").mapInArrow(_apart, scored.schema)
     top = apart.orderBy(F.desc("gain"), F.desc("size"), "term").limit(max_terms).collect()
