@@ -98,11 +98,19 @@ def alias_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     found = F.filter(F.concat(canonical, refresh), lambda t: F.trim(t) != "")
     base = F.coalesce(F.get(F.filter(F.transform(tags("base"), lambda t: _attribute(t, "href")), lambda t: F.trim(t) != ""), F.lit(0)), F.lit(""))
     # Most pages have no such tag at all.
-    rows = pages.where(_key(F.col(url)).isNotNull() & F.col(html).rlike("(?i)<(?:link|meta)")).select(F.col(url).alias("url"), F.regexp_replace(html, _COMMENT, "").alias("h"))
-    rows = rows.select("url", base.alias("base"), F.explode(found).alias("to"))
+    rows = pages.where((host(F.col(url)) != "") & F.col(html).rlike("(?i)<(?:link|meta)")).select(F.col(url).alias("url"), F.regexp_replace(html, _COMMENT, "").alias("h"))
+    rows = _fixed(rows.select("url", "h"), base=base, found=found).select("url", "base", F.explode("found").alias("to"))
     start = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(_absolute(F.col("url"), F.col("base")), F.col("url")))
-    rows = rows.select("url", _absolute(start, F.col("to")).alias("target"))
-    return rows.where(_key(F.col("target")).isNotNull() & (_key(F.col("target")) != _key(F.col("url"))))
+    rows = _fixed(rows, start=start)
+    rows = _fixed(rows, target=_absolute(F.col("start"), F.col("to"))).where("target IS NOT NULL")
+    rows = _fixed(rows, a=_key(F.col("url")), b=_key(F.col("target")))
+    return rows.where("b IS NOT NULL AND a <> b").select("url", "target")
+
+
+def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row. The optimizer copies an expression to each place that uses it, and those of links nest; it does not look into a generator."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__made")
+    return df.select("*", made).select(*df.columns, *[F.col("__made")[n].alias(n) for n in columns])
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -145,11 +153,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame | list | None = None, url: st
     ruled = match_rules(rows, rules)
     edges = None if html is None else alias_links(pages, url, html)
     if links is not None:
-        given = links.select(F.col("source").alias("url"), "target").where(_key(F.col("source")) != _key(F.col("target")))
+        given = _fixed(links.select(F.col("source").alias("url"), "target"), a=_key(F.col("url")), b=_key(F.col("target"))).where("a <> b").select("url", "target")
         edges = given if edges is None else edges.unionByName(given)
     if edges is None:
         return rows.join(ruled, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    edges = cut(edges.select("target", _key(F.col("url")).alias("a"), _key(F.col("target")).alias("b"), "url").distinct(), "url_links")
+    edges = cut(_fixed(edges.select("url", "target").distinct(), a=_key(F.col("url")), b=_key(F.col("target"))), "url_links")
     comp = cut(components(edges, "a", "b"), "url_components")
     ends = edges.select(F.col("a").alias("node"), F.col("url").alias("u")).unionByName(edges.select(F.col("b").alias("node"), F.col("target").alias("u")))
     # A page is ruled by its url as it stands, and each end by its node as well.
