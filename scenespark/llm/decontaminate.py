@@ -16,16 +16,27 @@ Items shorter than a window have one window, the whole item; its hash is its fin
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import digits
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, discard, text_key
+from .common import LOWER, UPPER, ascii_lower, cut, discard, text_key
 
-#: After lower-casing A-Z: digits, a-z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+def _run_of(ascii_kept: str) -> str:
+    """Pattern of a run of these characters and of everything beyond ASCII.
+
+    The others are listed one by one: Java looks a character up in a table then, where it
+    walks a chain of ranges over ten times as slowly.
+    """
+    return "[^" + "".join(rf"\x{i:02X}" for i in range(128) if chr(i) not in ascii_kept) + "]+"
+
+
+#: After lower-casing A-Z: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.
+WORD = _run_of(digits + LOWER)
 #: The same words before lower-casing, for counting.
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_ANY_CASE = _run_of(digits + LOWER + UPPER)
 _KEY = ["__k1", "__k2"]
 
 

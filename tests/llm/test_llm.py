@@ -577,6 +577,17 @@ def test_decontaminate_by_brute_force(spark, window, k):
         assert all(a["e"] < b["s"] for a, b in zip(r["spans"], r["spans"][1:])) or all(a["e"] <= b["s"] for a, b in zip(r["spans"], r["spans"][1:]))
 
 
+def test_decontaminate_words_over_all_code_points(spark):
+    """The contract's words, by a pattern that is a table to Java and not a chain of ranges."""
+    from scenespark.llm import decontaminate as D
+
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])) + "-aB9 \u00E9x\U0001F600y."
+    df = spark.createDataFrame([(text,)], "text string")
+    for pattern, contract in ((D.WORD, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (D._ANY_CASE, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")):
+        assert df.select(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).first()[0] == re.findall(contract, text)
+        assert "-" not in pattern
+
+
 def test_decontaminate_empty_sides(spark, docs, none):
     items = spark.createDataFrame([], "item_id string, text string")
     assert {r["n_hit"] for r in decontaminate(docs, items).collect()} == {0}
