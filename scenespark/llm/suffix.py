@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bucketed, cut, discard, text_key
 
-CHUNK = 1 << 20  # bytes of text that are hashed at a time
+CHUNK = 1 << 18  # bytes of text that are hashed at a time: about 20 arrays of eight bytes for each, which idle Python workers keep
 _U = np.uint64
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, _U(0xD6E8FEB86659FD93)
 #: Odd numbers for the 256 byte values, from a fixed rule.

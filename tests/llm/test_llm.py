@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -171,6 +173,24 @@ def test_suffix_anchors_of_a_run_are_few():
     assert len(found["first"]) == 1 and found["times"].tolist() == [99_601] and (found["own_first"].tolist(), found["own_end"].tolist()) == ([0], [100_000])
 
 
+def test_suffix_workers_stay_small(monkeypatch):
+    """A Python worker's arrays follow the chunk, not the batch, and stay within some tens of MB."""
+    monkeypatch.setattr(suffix, "_POW", [])
+    rng = np.random.default_rng(5)
+    line = rng.integers(97, 123, 736, dtype=np.uint8)
+    texts = pa.array(["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(2000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), texts], names=["k1", "k2", "text"])
+    kinds = np.tile(line, (2000, 1))
+    kinds[np.arange(2000), rng.integers(0, 736, 2000)] = 65
+    specimens = pa.RecordBatch.from_arrays([pa.array([c(i) for i in range(2000)], t) for c, t in zip((lambda i: i // 250, int, int, lambda i: 0, lambda i: 336, lambda i: 337, lambda i: kinds[i].tobytes()), suffix._SPECIMEN_TYPES)], names=suffix._SPECIMEN)
+    for run, b, most in ((suffix._anchor_rows(400, 64), batch, 40), (suffix._judge(400), specimens, 80)):
+        tracemalloc.start()
+        assert sum(len(x) for x in run(iter([b])))
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert peak < most
+
+
 def test_suffix_compares_bytes():
     row = lambda key, raw: (key, 1, 2, 0, 0, 0, raw)
     assert list(suffix._judge_chunk([row(5, b"x" * 20), row(5, b"x" * 20)], 16)) == []
