@@ -33,9 +33,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that a 400-byte string covers which starts elsewhere, too."""
+    """Bytes of every document that a 400-byte string covers which starts elsewhere, too; and, not removed, passages of 51 words or more that do."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = dedup_substrings(docs, words=51, apart=True)
+    size = F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.size("passages").cast("long").alias("n_passages"), size.alias("passage_bytes"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, _U(0xD6E8FEB86659FD93)
 #: Odd numbers for the 256 byte values, from a fixed rule.
 _BYTE = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "little") | 1 for i in range(256)], np.uint64)
 _POW: list[np.ndarray] = []
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_EIGHT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,14 +381,16 @@ def _judge(length: int):
     return lambda batches: _batches(rows(batches), _SPAN_TYPES, ["k1", "k2", "s", "e"])
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+def _runs(spans: pa.ListScalar) -> list[list[int]]:
+    """Spans [s, e), structs of an Arrow list, as their maximal runs, ascending."""
+    x = spans.values
+    if x is None or not len(x):
+        return []
+    s, e = x.field("s").to_numpy(), x.field("e").to_numpy()
+    by = np.argsort(s, kind="stable")
+    s, e = s[by], np.maximum.accumulate(e[by])
+    head = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1])))
+    return np.stack((s[head], e[np.concatenate((head[1:], [len(s)])) - 1]), axis=1).tolist()
 
 
 def _whole(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
@@ -404,10 +408,15 @@ def _whole(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
 
 _RESULT = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"]
 _RESULT_SCHEMA = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<s:int,e:int>>, kept string"
+_APART_SCHEMA = _RESULT_SCHEMA.replace("kept string", "passages array<struct<s:int,e:int>>, kept string")
 
 
-def _apply(length: int, with_text: bool, words: int = 0):
+def _apply(length: int, with_text: bool, words: int = 0, apart: bool = False):
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    names = [*_RESULT[:7], *["passages"] * apart, "kept"]
+
+    def listed(spans: list) -> list[dict]:
+        return [{"s": s, "e": e} for s, e in spans]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
@@ -415,10 +424,11 @@ def _apply(length: int, with_text: bool, words: int = 0):
             meta = zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "copies")))
             for i, (k1, k2, copies) in enumerate(meta):
                 raw = b.column("text")[i].as_buffer().to_pybytes()
-                if copies > 1 and (len(raw) >= length or words and len(raw.split()) >= words):
+                wordy = copies > 1 and words and len(raw.split()) >= words
+                if copies > 1 and len(raw) >= length or wordy and not apart:
                     cutting = [[0, len(raw)]]
                 else:
-                    cutting = _merged([(x["s"], x["e"]) for x in spans[i].as_py() or []])
+                    cutting = _runs(spans[i])
                 edges = [0, *(x for c in cutting for x in c), len(raw)]
                 digest = hashlib.sha256()
                 for s, e in zip(edges[::2], edges[1::2]):
@@ -427,14 +437,17 @@ def _apply(length: int, with_text: bool, words: int = 0):
                 if with_text:
                     edges = [0, *(x for c in _whole(raw, cutting) for x in c), len(raw)]
                     kept = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2]))
-                yield k1, k2, len(raw), sum(e - s for s, e in cutting), len(cutting), digest.hexdigest(), [{"s": s, "e": e} for s, e in cutting], kept
+                out = [k1, k2, len(raw), sum(e - s for s, e in cutting), len(cutting), digest.hexdigest(), listed(cutting)]
+                if apart:  # of copies: from the first word to the last
+                    out.append(listed([(len(raw) - len(raw.lstrip()), len(raw.rstrip()))] if wordy else _runs(b.column("passages")[i])))
+                yield *out, kept
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, *[span] * apart]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _batches(rows(batches), [*types, pa.binary()], _RESULT):
+        for part in _batches(rows(batches), [*types, pa.binary()], names):
             columns = part.columns[:-1] + [part.column("kept").cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=_RESULT)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -450,12 +463,16 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Prefix polynomial hashes over words, each word by its XXH3."""
+    """Prefix polynomial hashes over words, each word by its length and the eight bytes at its start, middle and end. That does for anchors: equal words agree, and what else agrees is told apart by its windows' digests."""
     if not len(starts):
         return np.zeros(1, np.uint64)
-    line, base = data[starts[0] : ends[-1]].tobytes(), int(starts[0])
-    h = xxhash.xxh3_64_intdigest
-    hashes = np.array([h(line[s:e]) for s, e in zip((starts - base).tolist(), (ends - base).tolist())], np.uint64)
+    line = np.concatenate((data[starts[0] : ends[-1]], np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(line) - 7, "<u8", line, strides=(1,))
+    at, size = starts - starts[0], ends - starts
+    keep, rest = _EIGHT[np.minimum(size, 8)], np.maximum(size - 8, 0)
+    hashes = _mixed(size.astype(np.uint64))
+    for i in (at, at + rest // 2, at + rest):
+        hashes = _mixed(hashes ^ (eight[i] & keep))
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(len(starts))[0][: len(starts)], dtype=np.uint64)))
 
 
@@ -561,14 +578,17 @@ def repeated_passages(texts: DataFrame, words: int, k: int = 8) -> DataFrame:
     return out
 
 
-def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, block: int = 32, with_text: bool = False, words: int = 0) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, block: int = 32, with_text: bool = False, words: int = 0, apart: bool = False) -> DataFrame:
     """One row for each different text (null counts as empty), keyed by text_key(): n_bytes, n_removed, n_spans, kept_sha256, removed [s, e) spans, kept.
 
     kept, where asked for, is the text without its removed spans, these shrunk to whole
     code points so that it stays UTF-8. crowd: how many different stretches of one anchor
     are sorted in one task before they are dealt by their cores instead. words: passages
-    of so many words that start twice go as well, whatever their length; 0: none.
+    of so many words that start twice go as well, whatever their length; 0: none. apart:
+    these stay, and [s, e) of their maximal runs are in a column passages.
     """
+    if apart and not words:
+        raise ValueError("apart needs words")
     if length < 16:
         raise ValueError("length must be 16 bytes or more")
     k = length * 4 // 25  # 64 of 400
@@ -612,29 +632,40 @@ def repeats(docs: DataFrame, text: str = "text", length: int = 400, crowd: int =
     own = rows.where("anchor IS NULL").select("k1", "k2", F.col("first").alias("s"), F.col("last").alias("e"))
     found = found.unionByName(same).unionByName(own)
     scratch = [rows, spans, blocks, crowded, windows, often]
+    span, lists = F.struct("s", "e"), {}
     if words:
         found = cut(found, "suffix_found")
         discard(*scratch)
+        scratch = [found]
+    if apart:
+        # Longer anchors than the pipeline's: more rows of them, but fewer windows in stretches that share a common line only.
+        passages = repeated_passages(texts, words, max(1, words // 2))
+        scratch.append(passages)
+        found = found.withColumn("passage", F.lit(False)).unionByName(passages.withColumn("passage", F.lit(True)))
+        lists = {"spans": F.when(~F.col("passage"), span), "passages": F.when(F.col("passage"), span)}
+    elif words:
         found = found.unionByName(repeated_passages(texts, words))
-    cutting = cut(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "suffix_cutting")
-    if not words:
+    lists = lists or {"spans": span}
+    cutting = cut(found.groupBy("k1", "k2").agg(*[F.collect_list(x).alias(c) for c, x in lists.items()]), "suffix_cutting")
+    if apart or not words:
         discard(*scratch)
-    done = texts.join(cutting, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "spans")
-    return done.mapInArrow(_apply(length, with_text, words), _RESULT_SCHEMA)
+    done = texts.join(cutting, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", *lists)
+    return done.mapInArrow(_apply(length, with_text, words, apart), _APART_SCHEMA if apart else _RESULT_SCHEMA)
 
 
-def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, with_text: bool = False, words: int = 0) -> DataFrame:
+def dedup_substrings(docs: DataFrame, text: str = "text", length: int = 400, crowd: int = 512, with_text: bool = False, words: int = 0, apart: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, removed (and kept): every byte covered by a repeated `length`-byte string is removed.
 
     Strings are judged on the input: each of their places goes, and overlaps count. A
     null text is empty; a text shorter than `length` keeps all. Repeated rows repeat each
     other's bytes, so from `length` bytes on they go whole. With words, each passage of
-    so many words that starts twice goes as well, however few its bytes. An empty table gives an empty
-    table. Columns of docs with the names of the new ones are replaced; others stay.
+    so many words that starts twice goes as well, however few its bytes; apart: it stays, and
+    a column passages has the [s, e) bytes of all such. An empty table gives an empty table. Columns of docs with the names of the new ones are replaced; others stay.
     """
-    new = [*_RESULT[2:], "k1", "k2"]
-    found = repeats(docs.select(text), text, length, crowd, with_text=with_text, words=words)
-    found = found.select(*[F.col(c).alias(f"__{c}") for c in _RESULT if with_text or c != "kept"])
+    made = [*_RESULT[2:], *["passages"] * apart]
+    new = [*made, "k1", "k2"]
+    found = repeats(docs.select(text), text, length, crowd, with_text=with_text, words=words, apart=apart)
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in ["k1", "k2", *made] if with_text or c != "kept"])
     k1, k2 = text_key(F.col(text))
     rows = docs.drop(*[c for c in new if c != text]).withColumn("__k1", k1).withColumn("__k2", k2).join(found, ["__k1", "__k2"]).drop("__k1", "__k2")
-    return rows.withColumnsRenamed({f"__{c}": c for c in _RESULT[2:]})
+    return rows.withColumnsRenamed({f"__{c}": c for c in made})

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tracemalloc
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -206,6 +207,45 @@ def test_scratch_tables_leave_the_catalogue(spark):
     assert not any(t.name.startswith("gone_") for t in spark.catalog.listTables()) and outer.count() == 3
 
 
+def brute_passages(texts, words):
+    """[s, e) of the maximal runs of bytes under windows of `words` words that start twice."""
+    found = [list(re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for t in texts]
+    windows = [[tuple(w[0] for w in f[i : i + words]) for i in range(len(f) - words + 1)] for f in found]
+    seen = Counter(w for x in windows for w in x)
+    out = []
+    for f, x in zip(found, windows):
+        runs = []
+        for s, e in [(f[i].start(), f[i + words - 1].end()) for i, w in enumerate(x) if seen[w] > 1]:
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = e
+            else:
+                runs.append([s, e])
+        out.append(runs)
+    return out
+
+
+def test_suffix_passages_below_the_byte_length(spark, tmp_path):
+    """Passages of 51 words that two texts, one text or copies share are listed, and stay; 50 words are none. What is removed is still by 400 bytes alone."""
+    from scenespark.llm import entry
+
+    rng = random.Random(3)
+    say = lambda k: " ".join(f"{rng.choice('aé')}{rng.randint(0, 9999)}" for _ in range(k))
+    p, q, own, copy, long = say(51), say(50), say(60), say(55), say(90)
+    texts = [f"{say(30)} {p} {say(9)}", f" {say(9)}\t{p.replace(' ', chr(10), 1)}  {say(70)}", f"{say(30)} {q} {say(5)}", f"{q} {say(40)}", f"{own} x {own}"]
+    texts += [f" {copy}\n", f" {copy}\n", f"{long} {say(60)}", f"{say(5)} {long}", say(300), say(3), say(3), "", None, " \n"]
+    assert len(p.encode()) < 400 < len(long.encode())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_passages(texts, 51)
+    got = {r["doc_id"]: [list(x) for x in r["passages"]] for r in suffix.dedup_substrings(docs, words=51, apart=True).collect()}
+    assert got == dict(enumerate(want)) and [len(x) for x in want] == [1, 1, 0, 0, 2, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0]
+    out = {r["doc_id"]: r for r in entry.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    for i, (w, b) in enumerate(zip(want, brute_spans(texts, 400))):
+        assert tuple(out[i][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == b
+        assert (out[i]["n_passages"], out[i]["passage_bytes"]) == (len(w), sum(e - s for s, e in w))
+    assert [out[i]["n_removed"] for i in (0, 1, 4, 5, 6)] == [0] * 5 and out[7]["n_removed"] >= 400
+
+
 def test_suffix_kept_text_is_utf8(spark):
     body = "é" * 150
     docs = spark.createDataFrame([(1, "a" + body + "b"), (2, "xy" + body + "cc"), (3, None)], "doc_id long, text string")
