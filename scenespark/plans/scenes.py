@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import sized
 from ..operators import geometry as M
 from ..operators import graph as G
 from ..operators import inventory as I
@@ -15,8 +15,11 @@ from .common import DIGITS, final, r9
 
 
 def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
-    """Adapters, written once: loops read them again and again."""
-    return [cut(shape(spark, d, n), n) for n in names]
+    """Adapters, written once: loops read them again and again, and so do the adapters after them."""
+    made: dict[str, DataFrame] = {}
+    for n in names:
+        made[n] = sized(shape(spark, d, n, made), n)
+    return [made[n] for n in names]
 
 
 def _joined(df: DataFrame, *columns: str) -> DataFrame:
