@@ -46,3 +46,15 @@ def test_sized(spark):
 def test_nearest_rooms_stay_off_the_driver(spark):
     with broadcasting(spark, "64k"):
         assert "Broadcast" not in planned(M.knn_rooms(rooms(spark, 200, 25)))
+
+
+@pytest.mark.parametrize("rep", ["metric_relations"])
+def test_placed_rooms_stay_off_the_driver(spark, rep):
+    at = rooms(spark, 800, 5)
+    links = sized(at.where("room_ord > 0").select("scene_id", F.col("room_id").alias("src"), (F.col("room_id").cast("bigint") - F.col("room_ord")).cast("string").alias("dst"), F.lit(0).alias("nbr_ord")).coalesce(1), "adjacency")
+    things = sized(at.select("scene_id", "room_id", F.col("room_id").alias("object_id"), "room_ord", F.lit(None).cast("string").alias("short_id"), F.lit("cup").alias("category")).withColumnRenamed("room_ord", "obj_ord").coalesce(1), "objects")
+    tables = {"rooms": at, "adjacency": links, "objects": things, "scenes": at.select("scene_id").distinct().withColumn("name", F.col("scene_id"))}
+    with broadcasting(spark, "24k"):
+        found = V.render(tables, rep)
+        assert "Broadcast" not in planned(found)
+    assert found.count() == 800
