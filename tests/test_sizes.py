@@ -58,3 +58,14 @@ def test_placed_rooms_stay_off_the_driver(spark, rep):
         found = V.render(tables, rep)
         assert "Broadcast" not in planned(found)
     assert found.count() == 800
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    mapped = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    # One that is still in use stays; those of the write have to go.
+    before = set(str(k) for k in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(mapped.keys().toSeq()))
+    out = sized(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    after = set(str(k) for k in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(mapped.keys().toSeq()))
+    assert not after - before
+    assert out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
