@@ -5,6 +5,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from scenespark.functions import storage
 from scenespark.functions.storage import sized
 from scenespark.operators import geometry as M
 from scenespark.operators import graph as G
@@ -69,3 +70,25 @@ def test_writes_leave_no_shuffle_files(spark):
     assert not after - before
     assert out.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_statements_are_dealt_once(spark):
+    things = spark.range(60).select(F.concat(F.lit("s"), F.col("id") % 3).alias("scene_id"), F.col("id").cast("string").alias("object_id"), F.lit(None).cast("string").alias("short_id"), F.lit("cup").alias("category"))
+    links = things.select("scene_id", F.col("object_id").cast("int").alias("rel_ord"), F.col("object_id").alias("subject_id"), F.lit("left").alias("predicate"), F.lit("0").alias("object_id"))
+    scene = V._Scene({"objects": sized(things, "objects"), "relations": sized(links, "relations")})
+    plans, write = [], V.sized
+
+    def watched(df, name, dealt=False):
+        if name.startswith("render_statements"):
+            assert dealt
+            own = storage._moved(spark, storage._aside(spark, storage._DEALT), df._jdf)
+            plans.append(own._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, dealt)
+
+    V.sized = watched
+    try:
+        assert V._statements(scene, True).count() == 60
+    finally:
+        V.sized = write
+    # Relations once, labels for either end; no exchange for grouping or ranking.
+    assert 2 <= plans[0].count("Exchange hashpartitioning") <= 3
