@@ -49,7 +49,7 @@ def test_nearest_rooms_stay_off_the_driver(spark):
         assert "Broadcast" not in planned(M.knn_rooms(rooms(spark, 200, 25)))
 
 
-@pytest.mark.parametrize("rep", ["metric_relations"])
+@pytest.mark.parametrize("rep", ["metric_relations", "metric_framing"])
 def test_placed_rooms_stay_off_the_driver(spark, rep):
     at = rooms(spark, 800, 5)
     links = sized(at.where("room_ord > 0").select("scene_id", F.col("room_id").alias("src"), (F.col("room_id").cast("bigint") - F.col("room_ord")).cast("string").alias("dst"), F.lit(0).alias("nbr_ord")).coalesce(1), "adjacency")
@@ -92,3 +92,14 @@ def test_statements_are_dealt_once(spark):
         V.sized = write
     # Relations once, labels for either end; no exchange for grouping or ranking.
     assert 2 <= plans[0].count("Exchange hashpartitioning") <= 3
+
+
+def test_navigation_asks_for_nearest_rooms_where_none_are_connected(spark, monkeypatch):
+    at, asked, knn = rooms(spark, 4, 3), [], V.M.knn_rooms
+    links = spark.createDataFrame([("scene_0", "0", "1", 0), ("scene_0", "1", "0", 0), ("scene_2", "6", "7", 0), ("scene_2", "7", "6", 0)], "scene_id string, src string, dst string, nbr_ord int")
+    things = spark.createDataFrame([], "scene_id string, room_id string, object_id string, obj_ord int, short_id string, category string")
+    tables = {"rooms": at, "adjacency": links, "objects": things, "scenes": at.select("scene_id").distinct().withColumn("name", F.col("scene_id"))}
+    monkeypatch.setattr(V.M, "knn_rooms", lambda rooms: asked.append(sorted(r[0] for r in rooms.select("scene_id").distinct().collect())) or knn(rooms))
+    texts = dict(V.render(tables, "navigation").select("scene_id", "text").collect())
+    assert asked == [["scene_1", "scene_3"]]
+    assert {k: "proximity" in v for k, v in texts.items()} == {"scene_0": False, "scene_1": True, "scene_2": False, "scene_3": True}
